@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import reference_queries
+from . import cooccurrence_queries, reference_queries, timestamp_queries
 
-MODULES = (reference_queries,)
+MODULES = (reference_queries, timestamp_queries, cooccurrence_queries)
 
 
 def queries() -> dict[str, Callable]:
