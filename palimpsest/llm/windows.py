@@ -3,7 +3,9 @@
 An item above the capacity is cut: its full windows stand alone, the rest is an item like any other. Items are hashed into
 groups of bounded size; within a group, the two partial partitions with the widest imbalance are merged, the fullest
 slots of one with the emptiest of the other, until one near-equal partition is left. Where its fullest window exceeds the
-capacity, the number of windows rises and the differencing runs again.
+capacity, the fullest and the emptiest windows are paired and each pair is halved anew, exactly, by subset sums; if
+that doesn't bring every window under the capacity, the number of windows rises: what is too much leaves its window for
+one with room, or is differenced again into further windows.
 
 Defined results: items of size 0 or null are in no window; equal sizes are ordered by key; an empty table gives no rows;
 repeated keys are items of their own (told apart by ``piece`` only if cut).
@@ -73,17 +75,81 @@ def least_windows(sizes: np.ndarray, capacity: int) -> int:
     return max(1, math.ceil(sizes.sum() / capacity), int((2 * sizes > capacity).sum()))
 
 
+def halve(sizes: list[int]) -> list[int]:
+    """Places of the items of one side, the sides' sums as near to each other as can be."""
+    reach, total = [1], sum(sizes)
+    for x in sizes:
+        reach.append(reach[-1] | reach[-1] << x)
+    below = reach[-1] & ((1 << (total // 2 + 1)) - 1)
+    at, side = below.bit_length() - 1, []
+    for i in range(len(sizes) - 1, -1, -1):
+        if not reach[i] >> at & 1:
+            side.append(i)
+            at -= sizes[i]
+    return side
+
+
+def even_out(sizes: np.ndarray, slots: np.ndarray, m: int, capacity: int, rounds: int = 12) -> np.ndarray:
+    """Pair windows of opposing imbalance and halve each pair, until none exceeds the capacity; each round shifts the partners."""
+    slots = slots.copy()
+    for r in range(rounds):
+        sums = np.bincount(slots, weights=sizes, minlength=m).astype(np.int64)
+        order = np.argsort(-sums, kind="stable")
+        if sums[order[0]] <= capacity:
+            break
+        members: dict[int, list[int]] = {int(x): [] for x in order}
+        for i, x in enumerate(slots.tolist()):
+            members[x].append(i)
+        n_over = int((sums > capacity).sum())
+        partners = np.roll(order[n_over:][::-1], -r * max(1, n_over // 2))
+        for full, empty in zip(order[:n_over].tolist(), partners.tolist()):
+            both = members[full] + members[empty]
+            side = halve([int(sizes[i]) for i in both])
+            part = sum(int(sizes[both[i]]) for i in side)
+            if max(part, int(sums[full] + sums[empty]) - part) < sums[full]:
+                slots[both] = full
+                slots[[both[i] for i in side]] = empty
+    return slots
+
+
+def evict(sizes: np.ndarray, slots: np.ndarray, m: int, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Take out of each window above the capacity the fewest tokens that bring it under, and put them where room is best used.
+
+    Gives the slots (-1: no room anywhere) and the places of the items left over."""
+    slots = slots.copy()
+    sums = np.bincount(slots, weights=sizes, minlength=m).astype(np.int64)
+    out: list[int] = []
+    for w in np.flatnonzero(sums > capacity).tolist():
+        own = sorted(np.flatnonzero(slots == w).tolist(), key=lambda i: (sizes[i], i))
+        while (excess := sums[w] - capacity) > 0:
+            i = next((i for i in own if sizes[i] >= excess), own[-1])
+            own.remove(i)
+            sums[w] -= sizes[i]
+            out.append(i)
+    left = []
+    for i in sorted(out, key=lambda i: (-sizes[i], i)):
+        room = capacity - sums - sizes[i]
+        w = int(np.argmin(np.where(room >= 0, room, capacity + 1)))
+        if room[w] >= 0:
+            slots[i], sums[w] = w, sums[w] + sizes[i]
+        else:
+            slots[i] = -1
+            left.append(i)
+    return slots, np.array(left, np.int64)
+
+
 def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Window of each item; none exceeds the capacity."""
-    if not len(sizes):
-        return np.zeros(0, np.int64)
-    m = least_windows(sizes, capacity)
-    while True:
-        slots = partition(sizes, m)
-        over = np.bincount(slots, weights=sizes, minlength=m) - capacity
-        if over.max() <= 0:
-            return slots
-        m = min(len(sizes), m + max(1, math.ceil(over[over > 0].sum() / capacity)))
+    """Window of each item (sizes in descending order); none exceeds the capacity."""
+    slots, todo, made = np.zeros(len(sizes), np.int64), np.arange(len(sizes)), 0
+    while len(todo):
+        part = sizes[todo]
+        m = least_windows(part, capacity)
+        own = even_out(part, partition(part, m), m, capacity)
+        own, left = evict(part, own, m, capacity)
+        placed = own >= 0
+        slots[todo[placed]] = own[placed] + made
+        todo, made = todo[np.sort(left)], made + m
+    return slots
 
 
 def _place(capacity: int):
