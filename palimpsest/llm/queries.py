@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, write_shared
-from . import bpe, conversations, windows
+from . import bpe, conversations, spans, windows
 
 TURNS = {"session": "session_id", "message": "id", "version": "created_at", "turn": "turn_num", "speaker": "speaker", "content": "content"}
 
@@ -43,11 +43,16 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.agg(F.count("*").alias("n_windows"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count("*") * 2048), 6).alias("fill"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_chars(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_conversations": p2_conversations,
     "p6_ids": p6_ids,
     "p7_windows": p7_windows,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
 }
 SQL: dict[str, str] = {}
