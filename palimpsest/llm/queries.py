@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, write_shared
-from . import bpe, conversations, spans, windows
+from . import bpe, conversations, quality, spans, windows
 
 TURNS = {"session": "session_id", "message": "id", "version": "created_at", "turn": "turn_num", "speaker": "speaker", "content": "content"}
 
@@ -20,6 +20,28 @@ def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(conversations.fold(table(spark, sf_dir, "conversation_turns"), **TURNS, keep_content=True))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src_table, eid, text, given_high, given_emoji): one row per record with text, the latest arrival's."""
+    audit = table(spark, sf_dir, "tmp_audit").select("eid", F.col("loaded_at").alias("at"), F.col("snippet").alias("text"), "non_ascii_ratio", "emoji_ratio")
+    soup = table(spark, sf_dir, "token_soup_scan").select("eid", F.col("created_at").alias("at"), F.col("original_excerpt").alias("text"), F.lit(None).cast("double").alias("non_ascii_ratio"), F.lit(None).cast("double").alias("emoji_ratio"))
+    both = audit.select(F.lit("tmp_audit").alias("src_table"), "*").unionByName(soup.select(F.lit("token_soup_scan").alias("src_table"), "*"))
+    last = both.where(F.col("text").rlike(r"(?U)\S")).groupBy("src_table", "eid").agg(F.max(F.struct("at", "text", "non_ascii_ratio", "emoji_ratio")).alias("v"))
+    return last.select("src_table", "eid", "v.text", "v.non_ascii_ratio", "v.emoji_ratio")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(_texts(spark, sf_dir)).where("not is_prose").select("src_table", "eid")
+
+
+def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every record with text, its type, and how far the given ratios are off."""
+    v = quality.verdicts(_texts(spark, sf_dir))
+    named = ("n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "ended_lines", "common_share", "triple_variety", "high_ratio", "emoji_share", "p_prose")
+    shown = [F.round(c, 6).alias(c) if not c.startswith("n_") else F.col(c) for c in named]
+    off = {"non_ascii_off": F.round(F.abs(F.col("non_ascii_ratio") - F.col("high_ratio")), 6), "emoji_off": F.round(F.abs(F.col("emoji_ratio") - F.col("emoji_share")), 6)}
+    return v.select("src_table", "eid", *shown, "text_type", *[c.alias(k) for k, c in off.items()])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.mapInArrow(bpe.ids_of(bpe.vocabulary(), "doc_id", "text"), "doc_id bigint, ids array<int>")
@@ -50,6 +72,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_conversations": p2_conversations,
+    "p3_found": p3_found,
+    "p3_statistics": p3_statistics,
     "p6_ids": p6_ids,
     "p7_windows": p7_windows,
     "p7_fill": p7_fill,
