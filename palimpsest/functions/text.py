@@ -276,9 +276,8 @@ def entities(c: Column, most: int = 10) -> Column:
     grab = lambda p, g=0: F.regexp_extract_all(c, F.lit(p), F.lit(g))
     technical = F.when(technical_signal(c), F.concat(grab(r"v?\d+\.\d+(?:\.\d+)?"), grab(r"(?:/[\w.-]+){2,}"), grab(r"\b[a-z][a-z0-9]+(?:-[a-z0-9]+)+\b"))).otherwise(F.array().cast("array<string>"))
     found = F.concat(technical, grab(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"))
-    low = F.transform(found, F.lower)
-    first = F.filter(found, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
-    return F.slice(first, 1, most)
+    full = lambda acc, x: (F.size(acc) >= most) | F.exists(acc, lambda y: F.lower(y) == F.lower(x))
+    return F.aggregate(found, F.array().cast("array<string>"), lambda acc, x: F.when(full(acc, x), acc).otherwise(F.array_append(acc, x)))
 
 
 def content_date(c: Column) -> Column:

@@ -50,7 +50,7 @@ def asof_links(summaries: DataFrame, originals: DataFrame, window_s: int, linked
     if linked is not None:
         originals = originals.join(linked.select(F.col("o_id").alias("id")), "id", "left_anti")
     w_us = window_s * 1_000_000
-    us = F.unix_micros("ts")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
     o = originals.select(F.col("id").alias("o_id"), us.alias("o_us"), F.explode(F.array(F.floor(us / w_us), F.floor(us / w_us) + 1)).alias("cell"))
     s = summaries.select(F.col("id").alias("s_id"), us.alias("s_us"), F.floor(us / w_us).alias("cell"))
     both = s.select("cell", F.col("s_us").alias("us"), F.lit(1).alias("kind"), "s_id", F.lit(None).cast("bigint").alias("o_id")).unionByName(
@@ -68,7 +68,7 @@ def vector_links(summaries: DataFrame, originals: DataFrame, hours: float, thres
 
     An interval join on cells of twice the span: each original is put into the cells it can be met in."""
     span = int(hours * 3_600_000_000)
-    us = F.unix_micros("ts")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
     s = summaries.select(F.col("id").alias("s_id"), us.alias("s_us"), F.col("app").alias("s_app"), F.col("embedding").alias("s_vec"), F.floor(us / (2 * span)).alias("cell"))
     cells = F.array_distinct(F.array(F.floor((us - span) / (2 * span)), F.floor((us + span) / (2 * span))))
     o = originals.select(F.col("id").alias("o_id"), us.alias("o_us"), F.col("app").alias("o_app"), F.col("embedding").alias("o_vec"), F.explode(cells).alias("cell"))
@@ -114,7 +114,7 @@ def interpolate_dates(df: DataFrame, series: str, pos: str, ts: str, first: str,
     """Missing times of a series filled linearly between the known ones around; its ends are forced where unknown."""
     w = Window.partitionBy(series)
     at_first, at_last = F.col(pos) == F.min(pos).over(w), F.col(pos) == F.max(pos).over(w)
-    known = F.coalesce(F.unix_micros(ts), F.when(at_first, F.unix_micros(F.lit(first).cast("timestamp"))), F.when(at_last, F.unix_micros(F.lit(last).cast("timestamp"))))
+    known = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.when(at_first, F.unix_micros(F.lit(first).cast("timestamp"))), F.when(at_last, F.unix_micros(F.lit(last).cast("timestamp"))))
     df = df.withColumn("_k", known)
     back, fwd = Window.partitionBy(series).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(series).orderBy(pos).rowsBetween(0, Window.unboundedFollowing)
     point = F.when(F.col("_k").isNotNull(), F.struct(F.col("_k").alias("t"), F.col(pos).alias("p")))

@@ -15,7 +15,7 @@ MONTH_S = 30 * 86_400
 def mixed_score(df: DataFrame, query: str, now: str, score: str = "score", ts: str = "ts") -> DataFrame:
     """``mixed``: relevance and recency, weighted by whether the query asks for what is recent. ``now``: a timestamp text."""
     relevance, recency = (0.4, 0.6) if wants_recent(query) else (0.7, 0.3)
-    age = F.greatest(F.lit(0.0), (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col(ts))) / 1e6)
+    age = F.greatest(F.lit(0.0), (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6)
     fresh = F.greatest(F.lit(0.0), 1 - age / MONTH_S)
     return df.withColumn("mixed", F.round(relevance * F.col(score) + recency * F.coalesce(fresh, F.lit(0.0)), 6))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import cooccurrence_queries, reference_queries, timestamp_queries
+from . import cooccurrence_queries, reference_queries, search_queries, text_queries, timestamp_queries, upkeep_queries
 
-MODULES = (reference_queries, timestamp_queries, cooccurrence_queries)
+MODULES = (reference_queries, timestamp_queries, cooccurrence_queries, text_queries, search_queries, upkeep_queries)
 
 
 def queries() -> dict[str, Callable]:
