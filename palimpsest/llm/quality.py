@@ -81,43 +81,67 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def functions(text: str = "text") -> dict[str, tuple[str, Column]]:
-    """Name -> (type it speaks for, condition)."""
+#: Labelling functions and the type each speaks for.
+SPEAK_FOR = {
+    "many_common": "prose",
+    "some_common": "prose",
+    "plain_words": "prose",
+    "sentences": "prose",
+    "no_common": "list",
+    "separators": "list",
+    "marked": "list",
+    "syntax": "code",
+    "markup": "code",
+    "signs": "code",
+    "names": "code",
+    "numbers": "data",
+    "digits": "data",
+    "records": "data",
+    "repeats": "junk",
+    "loops": "junk",
+    "foreign": "junk",
+    "pictures": "junk",
+    "odd_words": "junk",
+}
+FUNCTIONS, SPEAKS = tuple(SPEAK_FOR), tuple(SPEAK_FOR.values())
+
+
+def functions(text: str = "text") -> dict[str, Column]:
+    """Name -> condition, in the order of SPEAK_FOR."""
     t, c = F.col(text), F.col
     few = c("n_words") < 4
     return {
-        "many_common": ("prose", c("common_share") >= 0.22),
-        "some_common": ("prose", c("common_share") >= 0.12),
-        "plain_words": ("prose", c("plain_share") >= 0.75),
-        "sentences": ("prose", (c("ended_lines") >= 0.5) & (c("plain_share") >= 0.5) & (c("common_share") >= 0.06) & ~few),
-        "no_common": ("list", (c("common_share") < 0.05) & (c("plain_share") >= 0.4)),
-        "separators": ("list", F.regexp_count(t, F.lit(r"\s[|/»·•→>-]\s|\t|;\S| {2,}\S")) >= F.greatest(F.lit(3), c("n_words") / 6)),
-        "marked": ("list", (c("marked_lines") >= 0.5) | (F.regexp_count(t, F.lit(r"(^|\s)([•*-]|\p{Nd}{1,2}[.)]|#\w\S*)\s?")) >= F.greatest(F.lit(3), c("n_words") / 8))),
-        "syntax": ("code", t.rlike(r"(?m)(\)\s*[{:]|[;{}]\s*($|\s)|=>|[!=]==?|\+=|\breturn\b.*;|^\s*(def|const|let|var|export|import|function|class)\s+\w+|\w+\(\w*\)\s*;)")),
-        "markup": ("code", F.regexp_count(t, F.lit(r"</?[a-zA-Z][^<>]*>")) >= 2),
-        "signs": ("code", c("symbol_ratio") >= 0.06),
-        "names": ("code", c("name_share") >= 0.2),
-        "numbers": ("data", c("number_share") >= 0.25),
-        "digits": ("data", c("digit_ratio") >= 0.15),
-        "records": ("data", t.rlike(r"^\s*[\[{]\s*\"|\"\s*:\s*[\"\[{\w]|(?m)^\S{1,40}\s*[:=]\s*\S{1,24}$|\b(INFO|WARN|ERROR|DEBUG|TRACE|FATAL)\b\s*\[|\b[0-9a-f]{8}  ?([0-9a-f]{2} ){4}")),
-        "repeats": ("junk", c("triple_variety") < 0.6),
-        "loops": ("junk", c("triple_variety") < 0.4),
-        "foreign": ("junk", (c("foreign_share") >= 0.2) | (c("high_ratio") >= 0.25)),
-        "pictures": ("junk", (c("emoji_share") >= 0.06) | (c("letter_ratio") < 0.35)),
-        "odd_words": ("junk", (c("mean_word_length") >= 13) | (c("longest_word") >= 50) | (c("single_share") >= 0.4) | few & (c("common_share") == 0)),
+        "many_common": c("common_share") >= 0.22,
+        "some_common": c("common_share") >= 0.12,
+        "plain_words": c("plain_share") >= 0.75,
+        "sentences": (c("ended_lines") >= 0.5) & (c("plain_share") >= 0.5) & (c("common_share") >= 0.06) & ~few,
+        "no_common": (c("common_share") < 0.05) & (c("plain_share") >= 0.4),
+        "separators": F.regexp_count(t, F.lit(r"\s[|/»·•→>-]\s|\t|;\S| {2,}\S")) >= F.greatest(F.lit(3), c("n_words") / 6),
+        "marked": (c("marked_lines") >= 0.5) | (F.regexp_count(t, F.lit(r"(^|\s)([•*-]|\p{Nd}{1,2}[.)]|#\w\S*)\s?")) >= F.greatest(F.lit(3), c("n_words") / 8)),
+        "syntax": t.rlike(r"(?m)(\)\s*[{:]|[;{}]\s*($|\s)|=>|[!=]==?|\+=|\breturn\b.*;|^\s*(def|const|let|var|export|import|function|class)\s+\w+|\w+\(\w*\)\s*;)"),
+        "markup": F.regexp_count(t, F.lit(r"</?[a-zA-Z][^<>]*>")) >= 2,
+        "signs": c("symbol_ratio") >= 0.06,
+        "names": c("name_share") >= 0.2,
+        "numbers": c("number_share") >= 0.25,
+        "digits": c("digit_ratio") >= 0.15,
+        "records": t.rlike(r"^\s*[\[{]\s*\"|\"\s*:\s*[\"\[{\w]|(?m)^\S{1,40}\s*[:=]\s*\S{1,24}$|\b(INFO|WARN|ERROR|DEBUG|TRACE|FATAL)\b\s*\[|\b[0-9a-f]{8}  ?([0-9a-f]{2} ){4}"),
+        "repeats": c("triple_variety") < 0.6,
+        "loops": c("triple_variety") < 0.4,
+        "foreign": (c("foreign_share") >= 0.2) | (c("high_ratio") >= 0.25),
+        "pictures": (c("emoji_share") >= 0.06) | (c("letter_ratio") < 0.35),
+        "odd_words": (c("mean_word_length") >= 13) | (c("longest_word") >= 50) | (c("single_share") >= 0.4) | few & (c("common_share") == 0),
     }
 
 
-FUNCTIONS = tuple(functions())
-SPEAKS = tuple(t for t, _ in functions().values())
 
 
 def labelled(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the statistics and ``fired``: bit i is set if function i fires."""
     df = with_statistics(df, text)
     bits = F.lit(0)
-    for i, (_, cond) in enumerate(functions(text).values()):
-        bits = bits + F.when(F.coalesce(cond, F.lit(False)), F.lit(1 << i)).otherwise(0)
+    conditions = functions(text)
+    for i, name in enumerate(FUNCTIONS):
+        bits = bits + F.when(F.coalesce(conditions[name], F.lit(False)), F.lit(1 << i)).otherwise(0)
     return df.withColumn("fired", bits)
 
 
