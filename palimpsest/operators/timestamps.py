@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
@@ -83,7 +83,7 @@ def wall_to_utc(wall: datetime, zone: ZoneInfo) -> int | None:
     a, b = (wall.replace(tzinfo=zone, fold=k).utcoffset() for k in (0, 1))
     if a != b:
         return None
-    return _micros(wall.replace(tzinfo=UTC) - a)
+    return _micros(wall.replace(tzinfo=UTC)) - _micros(EPOCH + a)
 
 
 def _offset(z: str) -> int | None:
@@ -116,7 +116,7 @@ def _read(g: dict[str, str | None], local: str) -> int | None:
         if "/" in z:
             return wall_to_utc(wall, zone) if (zone := _zone(z)) else None
         off = _offset(z)
-        return None if off is None else _micros(wall.replace(tzinfo=UTC) - timedelta(minutes=off))
+        return None if off is None else _micros(wall.replace(tzinfo=UTC)) - off * 60_000_000
     except (OverflowError, ValueError):
         return None
 
