@@ -79,4 +79,19 @@ QUERIES = {
     "p7_fill": p7_fill,
     "p8_found": p8_found,
 }
-SQL: dict[str, str] = {}
+_BLANK = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{3000}\x{FEFF}\x{AD}]"
+_q = lambda p: "'" + p.replace("'", "''") + "'"
+_ROLE = "case " + " ".join(f"when w in ({', '.join(map(_q, ws))}) then '{r}'" for r, ws in conversations.ROLES.items()) + " end"
+_TALKS = rf"""
+raw as (select nullif(lower(regexp_replace(session_id, '^\s+|\s+$', '', 'g')), '') as session_id, turn_num, content, regexp_replace(lower(speaker), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') as w, regexp_replace(content, '^{_BLANK}+|{_BLANK}+$', '', 'g') as t from conversation_turns),
+turn as (select session_id, turn_num, {_ROLE} as role, t, content is not null and regexp_matches(content, {_q("[^" + conversations.NOTHING + "]")}) and not (length(t) <= 80 and (regexp_matches(regexp_replace(lower(t), '^[\[(<{{"''*_\s]+|[\])>}}"''*_\s]+$', '', 'g'), {_q(conversations.MARKER)})
+ or (regexp_matches(lower(t), {_q(conversations._BRACKETED)}) and regexp_matches(lower(t), {_q(conversations._HINT)})))) as says from raw where session_id is not null),
+one as (select distinct session_id, turn_num, role, t, coalesce(says, false) as says from turn),
+num as (select session_id, turn_num, count(*) as versions, min(says) as says, count(role) = count(*) as known, min(role) as role, min(t) as t from one group by 1, 2),
+ses as (select session_id, count(*) as n_turns, count(turn_num) as numbered, min(turn_num) as lo, max(turn_num) as hi, max(versions) as versions, bool_and(says) as says, bool_and(known) as known, arg_min(role, turn_num) filter (role <> 'system') as opens, arg_max(role, turn_num) filter (role <> 'system') as closes from num group by 1),
+kept as (select * from ses where numbered = n_turns and lo in (0, 1) and hi - lo + 1 = n_turns and versions = 1 and says and known and opens = 'user' and closes = 'assistant')
+"""
+SQL = {
+    "p2_found": f"with {_TALKS} select session_id from ses where session_id not in (select session_id from kept)",
+    "p2_conversations": f"with {_TALKS} select session_id, turn_num - lo as position, turn_num, role, t as content, n_turns from num join kept using (session_id)",
+}
