@@ -143,14 +143,13 @@ def chunk_code(text: str, least: int = 200, most: int = 4000, back: int = 200) -
 
 def chunk_paragraphs(text: str, most: int = 4000) -> list[str]:
     """Paragraphs packed in order up to ``most`` characters; a longer one stands alone."""
-    out, held = [], ""
-    for p in text.split("\n\n"):
-        joined = f"{held}\n\n{p}" if held else p
-        if held and len(joined) > most:
-            out.append(held)
-            joined = p
-        held = joined
-    return [*out, held] if held else out
+    out: list[str] = []
+    for p in text.split("\n\n") if text else []:
+        if out and len(out[-1]) + 2 + len(p) <= most:
+            out[-1] += f"\n\n{p}"
+        else:
+            out.append(p)
+    return out
 
 
 def chunk_overlapping(text: str, size: int = 512, overlap: int = 64) -> list[str]:

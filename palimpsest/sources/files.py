@@ -121,6 +121,8 @@ def import_yaml(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
 
 def flat_yaml(text: str) -> list:
     """A list of flat mappings with plain or quoted scalars: what snapshots hold."""
+    import json
+
     out: list = []
     for line in text.splitlines():
         if not line.strip() or line.lstrip().startswith("#"):
@@ -132,7 +134,7 @@ def flat_yaml(text: str) -> list:
         if pair and out and isinstance(out[-1], dict):
             v = pair[2].strip()
             if v[:1] == '"' and v[-1:] == '"' and len(v) > 1:
-                v = v[1:-1].encode().decode("unicode_escape").encode("latin-1", "ignore").decode("utf-8", "ignore") if "\\" in v else v[1:-1]
+                v = json.loads(v)
             elif v[:1] == "'" and v[-1:] == "'" and len(v) > 1:
                 v = v[1:-1].replace("''", "'")
             out[-1][pair[1]] = v
