@@ -115,8 +115,8 @@ def hashtags(c: Column) -> Column:
 
 def keyword_hits(c: Column, keywords: Sequence[str]) -> Column:
     """Keywords that the text contains anywhere, whatever the case, in the list's order."""
-    low = F.lower(c)
-    return F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(low, F.lower(k)))
+    low = F.lower(c)  # one expression per keyword: compiled, and the lower case is taken once
+    return F.array_compact(F.array(*[F.when(low.contains(k.lower()), F.lit(k)) for k in keywords]).cast("array<string>"))
 
 
 def scan_tags(c: Column, keywords: Sequence[str]) -> Column:
@@ -129,7 +129,8 @@ def years(c: Column) -> Column:
 
 def infect(tags: Column, c: Column, keywords: Sequence[str]) -> Column:
     """Tags with the text's keywords, years and month names added."""
-    months = F.filter(F.array(*[F.lit(m) for m in MONTHS]), lambda m: F.regexp(F.lower(c), F.concat(F.lit(r"\b"), F.lower(m), F.lit(r"\b"))))
+    low = F.lower(c)
+    months = F.array_compact(F.array(*[F.when(low.rlike(rf"\b{m.lower()}\b"), F.lit(m)) for m in MONTHS]))
     return F.array_union(F.array_union(F.coalesce(tags, F.array().cast("array<string>")), F.concat(keyword_hits(c, keywords), years(c))), months)
 
 
@@ -213,7 +214,7 @@ def emoji_ratio(c: Column) -> Column:
 
 def spam_hits(c: Column) -> Column:
     low = F.lower(c)
-    return F.array_join(F.filter(F.array(*[F.lit(k) for k in SPAM]), lambda k: F.contains(low, k)), ",")
+    return F.concat_ws(",", *[F.when(low.contains(k), F.lit(k)) for k in SPAM])
 
 
 def suspect(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import table
+from ..session import spread, table
 
 #: Keyword table of the queries (a parameter of the operators).
 KEYWORDS = ["Anchor", "queue", "Pressure", "glossary", "snapshot", "Messreihe", "carpeta", "dossier", "token", "pump", "folder"]
@@ -22,7 +22,7 @@ MEMORY = f"{DOCS}, memory as (select *, list_filter([bucket], lambda b: b is not
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = spread(table(spark, sf_dir, "documents").where("text is not null"))
     return d.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", "lang", "bucket", "provenance", F.col("ingested_at").alias("ts"), F.unix_micros("ingested_at").alias("ts_us"))
 
 

@@ -34,6 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer splits than that (one small file); a larger input stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < min(n, 64) else df
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh path in the folder all executors share (``spark.checkpoint.dir``).
 
