@@ -21,17 +21,20 @@ def jaccard(a: Column, b: Column) -> Column:
 def jaccard_links(summaries: DataFrame, originals: DataFrame, threshold: float = 0.18) -> DataFrame:
     """Best original of each summary by Jaccard likeness, among those in its length band, at the threshold or above.
 
-    Prefix filtering makes it an equi-join: two sets that reach the threshold share one of the rarest words of the summary's
-    prefix, so that only those words are joined on; a word's document count orders it. The band and the likeness are checked
+    Prefix filtering makes it an equi-join: with all words in one order, rarest first, two sets that reach the threshold share
+    a word among the first ``n - ceil(threshold * n) + 1`` of each. Only those words are joined on; band and likeness are checked
     on what is left. (s_id, o_id, score)"""
     s = summaries.select(F.col("id").alias("s_id"), token_set(F.col("content")).alias("s_set"), F.col("n_tokens")).where(F.size("s_set") > 0)
-    o = originals.select(F.col("id").alias("o_id"), token_set(F.col("content")).alias("o_set"), F.length("content").alias("o_len"))
-    o_words = o.select("o_id", F.explode("o_set").alias("w"))
-    freq = o_words.groupBy("w").agg(F.count("*").alias("df"))
-    s_words = s.select("s_id", F.size("s_set").alias("n"), F.explode("s_set").alias("w")).join(freq, "w")
-    order = Window.partitionBy("s_id").orderBy("df", "w")
-    prefix = s_words.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).select("s_id", "w")
-    cand = prefix.join(o_words, "w").select("s_id", "o_id").distinct()
+    o = originals.select(F.col("id").alias("o_id"), token_set(F.col("content")).alias("o_set"), F.length("content").alias("o_len")).where(F.size("o_set") > 0)
+    freq = o.select(F.explode("o_set").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+
+    def prefix(df: DataFrame, key: str, words_of: str) -> DataFrame:
+        ws = df.select(key, F.size(words_of).alias("n"), F.explode(words_of).alias("w")).join(freq, "w", "left")
+        order = Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "w")
+        return ws.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).select(key, "n", "w")
+
+    sizes = (F.col("s_n") >= F.ceil(threshold * F.col("o_n"))) & (F.col("o_n") >= F.ceil(threshold * F.col("s_n")))
+    cand = prefix(s, "s_id", "s_set").withColumnRenamed("n", "s_n").join(prefix(o, "o_id", "o_set").withColumnRenamed("n", "o_n"), "w").where(sizes).select("s_id", "o_id").distinct()
     chars = 4 * F.col("n_tokens")
     scored = (
         cand.join(s, "s_id").join(o, "o_id")

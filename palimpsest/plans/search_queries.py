@@ -202,7 +202,7 @@ def asof_link(spark, d):
 def jaccard_link(spark, d):
     m = docs(spark, d)
     s = m.where("provenance = 'external'").select("id", F.substring("content", 1, 400).alias("content"), F.ceil(F.length("content") / 4).alias("n_tokens"))
-    return links.jaccard_links(s, m.where("provenance <> 'external'").select("id", "content"), 0.3)
+    return links.jaccard_links(s, m.where("provenance <> 'external'").select("id", "content"), 0.5)
 
 
 def embed_link_delta(spark, d):
@@ -323,7 +323,7 @@ SQL = {
     "jaccard_link": r"""with d as (select doc_id as id, text as content, provenance as p from documents where text is not null),
  w as (select id, list_distinct(list_filter(string_split(lower(regexp_replace(case when p = 'external' then substr(content, 1, 400) else content end, '[^a-zA-Z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 2)) as ws, length(content) as n, cast(ceil(length(content) / 4) as bigint) * 4 as chars, p from d),
  j as (select s.id as s_id, o.id as o_id, len(list_intersect(s.ws, o.ws)) as b, len(s.ws) as x, len(o.ws) as y from w s join w o on s.p = 'external' and o.p <> 'external' and o.n >= greatest(200, floor(0.5 * s.chars)) and o.n <= floor(1.6 * s.chars) and len(s.ws) > 0 and len(o.ws) > 0),
- k as (select s_id, o_id, round(b / (x + y - b), 6) as score from j), r as (select *, row_number() over (partition by s_id order by score desc, o_id) as rn from k where score >= 0.3) select s_id, o_id, score from r where rn = 1""",
+ k as (select s_id, o_id, round(b / (x + y - b), 6) as score from j), r as (select *, row_number() over (partition by s_id order by score desc, o_id) as rn from k where score >= 0.5) select s_id, o_id, score from r where rn = 1""",
     "embed_link_delta": """with v as (select vec_id as id, cast(embedding as double[]) as e, vec_id % 7 as app, label from embeddings),
  n as (select s.id as s_id, o.id as o_id, s.e as se, o.e as oe, cast(s.app = o.app as int) as same, abs(s.id - o.id) as gap from v s join v o on s.label < 5 and o.label >= 5 and abs(s.id - o.id) <= 24),
  q as (select *, row_number() over (partition by s_id, same order by gap, o_id) as r from n), k as (select s_id, o_id, round(list_cosine_similarity(se, oe), 6) as score from q where r <= case when same = 1 then 100 else 200 end),
