@@ -54,9 +54,8 @@ def elastic_windows(docs: DataFrame, needles: list[str], budget: int, key: str =
     pieces = F.split(F.col(text), pattern, -1)
     found = F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), F.lit(1))
     hits = docs.where(F.col(text).rlike(pattern)).select(key, text, pieces.alias("p"), found.alias("f"), F.size(found).alias("m"))
-    total = hits.agg(F.sum("m").alias("hits"))
-    width = F.greatest(F.lit(300), F.least(F.lit(1500), F.floor(F.lit(budget) / F.col("hits")))).cast("int")
-    hits = hits.crossJoin(F.broadcast(total)).withColumn("w", width)  # one row on the right
+    total = hits.agg(F.sum("m").alias("hits")).first().hits or 1
+    hits = hits.withColumn("w", F.lit(max(300, min(1500, budget // total))))
     lens = F.zip_with(F.slice("p", 1, F.col("m")), "f", lambda p, f: F.struct(F.length(p).alias("a"), F.length(f).alias("b")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("xs"))
     walk = F.aggregate(lens, zero, lambda acc, x: F.struct((acc.at + x.a + x.b).alias("at"), F.concat(acc.xs, F.array(F.struct((acc.at + x.a).alias("s"), (acc.at + x.a + x.b).alias("e")))).alias("xs")))

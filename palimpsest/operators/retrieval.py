@@ -56,9 +56,8 @@ def fts(df: DataFrame, terms: DataFrame, key: str = "id", text: str = "content")
     """(query_id, attempt, id, fts): documents that hold all terms of an attempt; score = sum of tf * ln(1 + N / df)."""
     vocabulary = sorted({r.term for r in terms.select("term").distinct().collect()})  # the request's own terms
     p = postings(df, vocabulary, key, text)
-    size = df.agg(F.count("*").alias("n_docs"))
-    seen = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))  # one row on the right
-    weight = seen.select("term", F.log(1 + F.col("n_docs") / F.col("df")).alias("idf"))
+    n_docs = df.count()
+    weight = p.groupBy("term").agg(F.log(1 + F.lit(n_docs) / F.count("*")).alias("idf"))
     hits = p.join(F.broadcast(terms), "term").join(F.broadcast(weight), "term")
     by = hits.groupBy("query_id", "attempt", "n_terms", key).agg(F.count("*").alias("m"), F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("fts"))
     return by.where("m = n_terms").select("query_id", "attempt", key, "fts")
