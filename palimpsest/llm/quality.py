@@ -57,13 +57,12 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns({"words": plain, "n_words": F.size("raw_words"), "n_lines": F.size("lines")})
     share = lambda hits, of: F.when(F.size(of) > 0, F.size(hits) / F.size(of)).otherwise(0.0)
     ratio = lambda c: F.when(F.col("n_chars") > 0, F.col(c) / F.col("n_chars")).otherwise(0.0)
-    common = F.array(*[F.lit(w) for w in COMMON_WORDS])
     triples = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.concat_ws(" ", F.slice("words", i + 1, 3))))
     return df.withColumns(
         {
             "mean_word_length": F.when(F.col("n_words") > 0, (F.col("n_chars") - F.col("n_blanks")) / F.col("n_words")).otherwise(0.0),
             "longest_word": F.coalesce(F.array_max(F.transform("raw_words", F.length)), F.lit(0)),
-            "common_share": share(F.filter("words", lambda w: F.array_contains(common, w)), F.col("words")),
+            "common_share": share(F.filter("words", lambda w: w.isin(COMMON_WORDS)), F.col("words")),
             "triple_variety": F.when(F.size("words") >= 9, F.size(F.array_distinct(triples)) / F.size(triples)).otherwise(1.0),
             "number_share": share(F.filter("raw_words", lambda w: w.rlike(r"^\W*\p{Nd}[\p{Nd}.,:%/-]*(\p{L}{1,3}|%)?\W*$")), F.col("raw_words")),
             "name_share": share(F.filter("raw_words", lambda w: w.rlike(r"\p{L}_\p{L}|\p{Ll}\p{Lu}|\p{L}\p{Nd}|\p{Nd}\p{L}{2}|^#\w|\w=\S")), F.col("raw_words")),
