@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_shared
+
 TYPES = ("prose", "list", "code", "data", "junk")
 
 # Frequent function words of English, French, German and Spanish.
@@ -186,6 +188,7 @@ def learn(counts: list[tuple[int, int]], rounds: int = 200, anchor: float = 0.05
 def verdicts(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the statistics, ``p_prose``, ``text_type`` and ``is_prose`` to the rows whose text isn't null or blank."""
     rows = labelled(df.where(F.col(text).isNotNull() & F.col(text).rlike(r"(?U)\S")), text)
+    rows = write_shared(rows.drop("raw_words", "lines", "words"), "quality_rows")  # the statistics are computed once
     counts = [(r.fired, r.n) for r in rows.groupBy("fired").agg(F.count("*").alias("n")).orderBy("fired").collect()]
     post, _ = learn(counts)
     table = df.sparkSession.createDataFrame([(s, float(p[0]), TYPES[int(np.argmax(p))]) for s, p in post.items()], "fired int, p_prose double, text_type string")
