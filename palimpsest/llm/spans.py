@@ -31,6 +31,8 @@ LEAST, K = 200, 72
 SEGMENT = 1 << 18
 #: Members of a branching node that one task may compare; a node with more is compared by a distributed aggregate.
 HOT = 200_000
+#: Stretches that one task compares at once; those of a larger node are compared in slices of their keys.
+STRETCHES = 1 << 22
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
@@ -254,30 +256,41 @@ def _around(lead: np.ndarray, texts: list[str], least: int) -> tuple[np.ndarray,
 
 def _compare(h: np.ndarray, cid: np.ndarray, at: np.ndarray, lead: np.ndarray, texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cid, s, e) of members whose surroundings share a stretch with another text's; rows of whole groups."""
-    row, off, g = _around(lead, texts, least)
-    if not len(row):
-        return (np.zeros(0, np.int64),) * 3
-    key = _mix(g ^ _mix(h[row].view(np.uint64) + (off + least).astype(np.uint64)))
-    order = np.argsort(key, kind="stable")
-    ks, cs = key[order], cid[row[order]]
-    new = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1]])
-    shared = np.minimum.reduceat(cs, new) != np.maximum.reduceat(cs, new)
-    hit = order[np.repeat(shared, np.diff(np.r_[new, len(ks)]))]
-    if not len(hit):
-        return (np.zeros(0, np.int64),) * 3
+    slices = max(1, -(-sum(max(0, len(t) - least + 1) for t in texts) // STRETCHES))
     lo, hi = np.full(len(texts), 1 << 40), np.full(len(texts), -(1 << 40))
-    np.minimum.at(lo, row[hit], off[hit])
-    np.maximum.at(hi, row[hit], off[hit])
-    m = np.unique(row[hit])
+    for part in range(slices):
+        rows, offs, keys = [], [], []
+        for i in range(0, len(texts), 4096):
+            row, off, g = _around(lead[i : i + 4096], texts[i : i + 4096], least)
+            row += i
+            key = _mix(g ^ _mix(h[row].view(np.uint64) + (off + least).astype(np.uint64)))
+            if slices > 1:
+                mine = key % np.uint64(slices) == part
+                row, off, key = row[mine], off[mine], key[mine]
+            rows.append(row)
+            offs.append(off)
+            keys.append(key)
+        row, off, key = (np.concatenate(x) for x in (rows, offs, keys))
+        if not len(row):
+            continue
+        order = np.argsort(key, kind="stable")
+        ks, cs = key[order], cid[row[order]]
+        new = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1]])
+        shared = np.minimum.reduceat(cs, new) != np.maximum.reduceat(cs, new)
+        hit = order[np.repeat(shared, np.diff(np.r_[new, len(ks)]))]
+        np.minimum.at(lo, row[hit], off[hit])
+        np.maximum.at(hi, row[hit], off[hit])
+    m = np.flatnonzero(lo <= hi)
     return cid[m], at[m] + lo[m], at[m] + hi[m] + least
 
 
 def _compare_sorted(least: int):
-    """Members sorted by node: whole groups are compared batch by batch, the last group waits for the next batch."""
+    """Members sorted by node: whole groups are compared batch by batch, the last group waits until the next node begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         texts: list[str] = []
+        begin = 0  # of the last group, which may have come in many parts
 
         def emit(n: int) -> pa.RecordBatch:
             nonlocal held, texts
@@ -291,11 +304,13 @@ def _compare_sorted(least: int):
                 part = b.slice(lo, 1024)
                 h, cid, at, lead, around = _columns(part, "h", "cid", "s", "lead", "around")
                 cols = tuple(x.to_numpy() for x in (h, cid, at, lead))
+                if not texts or held[-1][0][-1] != cols[0][-1]:
+                    begin = len(texts) + int(np.searchsorted(cols[0], cols[0][-1]))
                 held.append(cols)
                 texts += around.to_pylist()
-                whole = len(texts) - len(cols[0]) + int(np.searchsorted(cols[0], cols[0][-1]))
-                if whole and (len(texts) >= 1024):
-                    yield emit(whole)
+                if begin and len(texts) >= 1024:
+                    yield emit(begin)
+                    begin = 0
         if texts:
             yield emit(len(texts))
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import spans as S
@@ -59,6 +61,35 @@ def test_hot_nodes_take_the_distributed_way(spark):
     assert run(spark, texts, hot=2) == brute(texts, 40)
 
 
+def shared_node(n):
+    """Texts that all hold one stretch; 44 characters around it are common to the i-th of either half only."""
+    rng = random.Random(5)
+    say = lambda m: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(m))
+    pairs = [(say(6), say(6)) for _ in range(n // 2)]
+    core = say(32)
+    return [(i, say(30) + pairs[i % (n // 2)][0] + core + pairs[i % (n // 2)][1] + say(30)) for i in range(n)]
+
+
+def test_a_node_of_several_parts_is_one_group(spark):
+    texts = shared_node(5000)
+    want = brute(texts, 40)
+    assert len(want) == 5000
+    assert run(spark, texts) == want
+
+
+@pytest.mark.parametrize("stretches", [1 << 22, 1000])
+def test_parts_of_a_node_wait_for_its_end(monkeypatch, stretches):
+    monkeypatch.setattr(S, "STRETCHES", stretches, raising=False)
+    texts = [t[16:88] for _, t in shared_node(3000)]
+    n = [10, 3000, 20]  # members of a small node, the large one and another small one
+    h = np.repeat([-5, 1, 9], n)
+    around = ["-" * 72] * 10 + texts + [t + "x" for t in texts[:20]]
+    cid = np.arange(len(h))
+    batch = pa.RecordBatch.from_arrays([pa.array(h), pa.array(cid), pa.array(cid * 0 + 20), pa.array(cid * 0 + 20), pa.array(around)], names=["h", "cid", "s", "lead", "around"])
+    got = [r for b in S._compare_sorted(40)(batch.slice(i, 700) for i in range(0, len(h), 700)) for r in b.to_pylist()]
+    assert sorted(r["cid"] for r in got) == list(range(3010))
+
+
 def test_exact_border(spark):
     body = "".join(chr(0x4E00 + i) for i in range(300))
     texts = [(1, "x" + body[:200] + "y"), (2, "z" + body[:200] + "w"), (3, "q" + body[50:249] + "r")]
