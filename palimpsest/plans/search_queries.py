@@ -205,6 +205,13 @@ def jaccard_link(spark, d):
     return links.jaccard_links(s, m.where("provenance <> 'external'").select("id", "content"), 0.5)
 
 
+def jaccard_link_whole(spark, d):
+    """``jaccard_link`` over whole summaries at the operator's own threshold; the SQL beside that one is of summaries' heads at 0.5."""
+    m = docs(spark, d)
+    s = m.where("provenance = 'external'").select("id", "content", F.ceil(F.length("content") / 4).alias("n_tokens"))
+    return links.jaccard_links(s, m.where("provenance <> 'external'").select("id", "content"))
+
+
 def embed_link_delta(spark, d):
     v = table(spark, d, "embeddings").select(c("vec_id").alias("id"), "embedding", "label", (c("vec_id") % 7).alias("app"), F.timestamp_seconds(F.lit(1735689600) + c("vec_id") * 3600).alias("ts"))
     return links.vector_links(v.where("label < 5"), v.where("label >= 5"), 24, 0.3, 0.02)
@@ -251,7 +258,7 @@ QUERIES = {
     for f in (
         fts_postings, fts_anchor_topk, anchor_scored, anchor_filtered, anchor_modes, tag_walk, walk_union, tag_overlap_filter, tag_subset_filter, executed_search, smart_split_union, molecule_pieces, iterative_attempts, engram_lookup,
         basic_substring, file_cascade, near_dup_suppressed, pack_budget, pack_recent, recency_mix, elastic_windows, bright_edges, structured_graph_nodes, unbound_antijoin, content_dedup, hash_change_detection, session_next_edges,
-        moment_entity_union, vector_knn, hybrid_rerank, visible_memories, asof_link, jaccard_link, embed_link_delta, declared_link, run_rollback, committed_edges, entity_upsert, date_interpolate,
+        moment_entity_union, vector_knn, hybrid_rerank, visible_memories, asof_link, jaccard_link, jaccard_link_whole, embed_link_delta, declared_link, run_rollback, committed_edges, entity_upsert, date_interpolate,
     )
 }
 
