@@ -202,12 +202,18 @@ def simhash_of(text: str | None) -> int | None:
 simhash = F.pandas_udf(lambda s: s.map(simhash_of).astype("Int64"), T.LongType())
 
 
+#: Falling powers of 31, modulo 2**32, down to 1.
+_POWERS31 = np.multiply.accumulate(np.r_[np.uint32(1), np.full((1 << 16) - 1, 31, np.uint32)])[::-1].copy()
+
+
 def rolling31(text: str) -> str:
-    """The 31-multiplier 32-bit rolling hash, in hexadecimal of its absolute value."""
-    h = 0
-    for ch in text:
-        h = (h * 31 + ord(ch)) & 0xFFFFFFFF
-    return format(abs(h - (1 << 32) if h >> 31 else h), "x")
+    """The 31-multiplier 32-bit rolling hash over the UTF-16 units of a whole text, in signed hexadecimal."""
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+    h, step = 0, 1 << 16
+    for i in range(0, len(units), step):
+        part = units[i : i + step]
+        h = (h * pow(31, len(part), 1 << 32) + int((part * _POWERS31[step - len(part) :]).sum(dtype=np.uint32))) & 0xFFFFFFFF
+    return format(h - (1 << 32) if h >> 31 else h, "x")
 
 
 fallback_hash = F.pandas_udf(_each(rolling31), T.StringType())

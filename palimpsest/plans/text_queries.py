@@ -221,7 +221,7 @@ def flexible_timestamps(spark, d):
 
 
 def uuid_app_ids(spark, d):
-    return docs(spark, d).select("id", K.app_id(F.substring("content", 1, 4096)).alias("app_id"), K.fallback_hash(F.substring("content", 1, 200)).alias("fallback"))
+    return docs(spark, d).select("id", K.app_id(F.substring("content", 1, 4096)).alias("app_id"), K.fallback_hash(c("content")).alias("fallback"))
 
 
 def char_similarity(spark, d):

@@ -41,3 +41,17 @@ def test_whole_summaries_are_linked(spark, tables):
         if best[0] >= 0.18:
             want[i] = (-best[1], best[0])
     assert len(want) > 2 and got == want
+
+
+def test_fallback_hash_is_of_the_whole_content(spark, tables):
+    def hashed(text):
+        h, raw = 0, text.encode("utf-16-le")
+        for i in range(0, len(raw), 2):
+            h = (h * 31 + int.from_bytes(raw[i : i + 2], "little")) % 2**32
+        return format(h - 2**32 if h >= 2**31 else h, "x")
+
+    head = "the same head " * 20
+    texts = [(1, head + "one"), (2, head + "two"), (3, "polygenelubricants"), (4, "a\U0001f642é"), (5, ""), (6, head * 400 + "x"), (7, "hello world, a negative one")]
+    got = {r.id: r.fallback for r in QUERIES["uuid_app_ids"](spark, tables("documents", documents(texts), DOC)).collect()}
+    assert got == {i: hashed(t) for i, t in texts}
+    assert got[1] != got[2] and got[5] == "0" and got[3] == "-80000000"
