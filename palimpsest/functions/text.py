@@ -292,12 +292,36 @@ def content_date(c: Column) -> Column:
     return F.when(iso != "", to(iso, "yyyy-MM-dd")).when(us != "", to(us, "M/d/yyyy")).when(name != "", to(short, "MMM d yyyy"))
 
 
+# Offsets of American and European zone abbreviations.
+_ABBREVIATED = {
+    "UTC": "+00:00", "GMT": "+00:00", "WET": "+00:00", "WEST": "+01:00", "BST": "+01:00", "CET": "+01:00", "CEST": "+02:00", "EET": "+02:00", "EEST": "+03:00", "MSK": "+03:00",
+    "AST": "-04:00", "ADT": "-03:00", "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00", "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00",
+}
+#: Rewritings of a time as text towards ISO, in order: notes after the zone, the day's name, basic form, small t and z, comma, offsets.
+_TOWARDS_ISO = (
+    (r"\s*(\[[^\]]*\]|\([^)]*\))$", ""), (r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), (r"(?i)^(\d{4})(\d{2})(\d{2})t(\d{2})(\d{2})(\d{2})", "$1-$2-$3T$4:$5:$6"),
+    (r"^(\d{4}-\d{2}-\d{2})t", "$1T"), (r"(\d)z$", "$1Z"), (r"(:\d{2}),(\d+)", "$1.$2"), (r"(:\d{2}(?:\.\d+)?\s*)(?:GMT|UTC)?([+-]\d{2}):?(\d{2})$", "$1$2:$3"),
+)
+_FREE_FORMS = ("MMM d, yyyy hh:mm a", "M/d/yyyy h:mm:ss a", "dd.MM.yyyy HH:mm", "d MMMM yyyy, HH:mm:ss XXX", "d MMMM yyyy, HH:mm:ss z", "d MMM yyyy HH:mm:ss XXX", "MMM d yyyy HH:mm:ss XXX")
+
+
 def flexible_timestamp(c: Column) -> Column:
-    """Epoch seconds or milliseconds, ISO, or free date and time."""
-    n = F.when(c.rlike(r"^\d{9,14}$"), c).try_cast("bigint")
-    epoch = F.when(n >= 100_000_000_000, F.timestamp_millis(n)).otherwise(F.timestamp_seconds(n))
-    tries = [F.try_to_timestamp(c), *[F.try_to_timestamp(c, F.lit(f)) for f in ("MMM d, yyyy hh:mm a", "M/d/yyyy h:mm:ss a", "dd.MM.yyyy HH:mm", "d MMMM yyyy, HH:mm:ss z")]]
-    return F.coalesce(epoch, *[F.when(n.isNull(), t) for t in tries])
+    """Epoch seconds or milliseconds, whole or with a fraction, ISO, or free date and time."""
+    n = F.when(c.rlike(r"^\d{9,14}(\.\d{1,12})?$"), c).try_cast("decimal(28,12)")
+    epoch = F.timestamp_micros(F.floor(n * F.when(n >= 100_000_000_000, 1000).otherwise(1_000_000)).cast("bigint"))
+    t = c
+    for old, new in _TOWARDS_ISO:
+        t = F.regexp_replace(t, old, new)
+    offsets = F.create_map(*[F.lit(x) for kv in _ABBREVIATED.items() for x in kv])
+
+    def zoned(x: Column) -> Column:
+        return F.coalesce(F.concat(F.regexp_replace(x, r"[A-Z]+$", ""), offsets[F.regexp_extract(x, r":\d{2}(?:\.\d+)? ([A-Z]{3,4})$", 1)]), x)
+
+    def read(x: Column) -> Column:
+        return F.coalesce(F.try_to_timestamp(x), *[F.try_to_timestamp(x, F.lit(f)) for f in _FREE_FORMS])
+
+    # as elements of an array each step is one value, not an expression that the next step repeats
+    return F.coalesce(epoch, F.when(n.isNull(), F.get(F.transform(F.transform(F.array(t), zoned), read), F.lit(0))))
 
 
 def temporal_tags(ts: Column) -> Column:

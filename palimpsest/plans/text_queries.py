@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import text as X
 from ..operators import dedup, graph
-from ..session import table
+from ..session import strip, table
 from ..sources import files as S
 from .base import DOCS, HITS, KEYWORDS, TYPE, docs, joined, memory
 
@@ -220,6 +220,13 @@ def flexible_timestamps(spark, d):
     return r.select("repair_id", F.unix_micros(X.flexible_timestamp(c("t"))).alias("us"))
 
 
+def flexible_timestamps_whole(spark, d):
+    """``flexible_timestamps`` over all values of both fields; a value that is no time has no ``us``."""
+    r = table(spark, d, "repair_canary_run2")
+    r = r.select("repair_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), strip(c(f)).alias("t")) for f in ("s_created_at", "orig_created_at")])).alias("x")).where("x.t is not null").distinct()
+    return r.select("repair_id", "x.field", F.unix_micros(X.flexible_timestamp(c("x.t"))).alias("us"))
+
+
 def uuid_app_ids(spark, d):
     return docs(spark, d).select("id", K.app_id(F.substring("content", 1, 4096)).alias("app_id"), K.fallback_hash(c("content")).alias("fallback"))
 
@@ -234,7 +241,7 @@ QUERIES = {
     for f in (
         content_ids, pii_mask, detect_type, numeric_extract, hashtag_extract, keyword_infect, year_tags, infected_tags, scan_tags, system_tags_from_path, bucket_from_path, display_tags, split_sentences, sentence_offsets, split_rows,
         split_code, split_fences, simhash_fingerprint, simhash_neardup, simhash_classes, html_to_text, html_title, temporal_tags, clean_sanitize, clean_text, technical_normalised, fts_query_clean, quality_audit, suspect_counts,
-        token_soup, soup_sanitised, entity_extract, content_dates, token_estimates, file_classes, conversation_files, compact_summaries, chunk_strategies, topology_molecules, topology_edges, flexible_timestamps, uuid_app_ids, char_similarity,
+        token_soup, soup_sanitised, entity_extract, content_dates, token_estimates, file_classes, conversation_files, compact_summaries, chunk_strategies, topology_molecules, topology_edges, flexible_timestamps, flexible_timestamps_whole, uuid_app_ids, char_similarity,
     )
 } | {"chunk_prose": _chunks(K.chunk_prose), "chunk_code": _chunks(K.chunk_code), "chunk_paragraphs": _chunks(K.chunk_paragraphs), "chunk_overlapping": _chunks(K.chunk_overlapping)}
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -55,3 +55,20 @@ def test_fallback_hash_is_of_the_whole_content(spark, tables):
     got = {r.id: r.fallback for r in QUERIES["uuid_app_ids"](spark, tables("documents", documents(texts), DOC)).collect()}
     assert got == {i: hashed(t) for i, t in texts}
     assert got[1] != got[2] and got[5] == "0" and got[3] == "-80000000"
+
+
+FORMS = {
+    "1736544808": "2025-01-10 21:33:28", "1736344860234": "2025-01-08 14:01:00.234", "1737444699.050409": "2025-01-21 07:31:39.050409", "2025-01-04T19:18:33.661619067Z": "2025-01-04 19:18:33.661619", "2025-01-06T20:54:03.723683": "2025-01-06 20:54:03.723683",
+    "2025-01-15": "2025-01-15", "2025-01-17t00:26:54z": "2025-01-17 00:26:54", "20250108T190627Z": "2025-01-08 19:06:27", "2025-01-21 10:58:56,280+00:00": "2025-01-21 10:58:56.280", "01.02.2026 15:14": "2026-02-01 15:14",
+    "2025-01-07 22:17:18 Australia/Sydney": "2025-01-07 11:17:18", "2025-01-08 06:50:53 EST": "2025-01-08 11:50:53", "2025-07-28 03:38:59 MDT": "2025-07-28 09:38:59", "Apr 3, 2025 08:45 AM": "2025-04-03 08:45", "2025-01-21T06:55:03-0500": "2025-01-21 11:55:03",
+    "Fri, 06 Feb 2026 00:53:14 -0800": "2026-02-06 08:53:14", "Fri Apr 04 2025 20:56:35 GMT-0600 (Mountain Daylight Time)": "2025-04-05 02:56:35", "10 August 2025, 03:23:05 MDT": "2025-08-10 09:23:05", "11 October 2025, 12:13:17 MST": "2025-10-11 19:13:17",
+    "2025-02-01T10:21:27+01:00[Europe/Berlin]": "2025-02-01 09:21:27", "1/17/2026 7:09:47 AM": "2026-01-17 07:09:47", " 2025-01-23T15:36:21.670080+00:00\t": "2025-01-23 15:36:21.670080", "0000-00-00 00:00:00": None, "N/A": None, "": None, "2025-04-??": None, "Invalid Date": None,
+}
+
+
+def test_all_forms_of_both_fields_are_read(spark, tables):
+    forms = list(FORMS)
+    rows = [(str(i), v, forms[-1 - i]) for i, v in enumerate(forms)] + [("null", None, None)]
+    got = {(r.repair_id, r.field): r.us for r in QUERIES["flexible_timestamps_whole"](spark, tables("repair_canary_run2", rows, "repair_id string, s_created_at string, orig_created_at string")).collect()}
+    us = lambda t: None if t is None else (datetime.fromisoformat(t) - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    assert got == {(i, f): us(FORMS[v]) for i, a, b in rows for f, v in (("s_created_at", a), ("orig_created_at", b)) if v is not None}
