@@ -152,6 +152,11 @@ def fts_query_clean(spark, d):
     return docs(spark, d).select("id", X.fts_query(F.substring("content", 1, 200)).alias("q"))
 
 
+def fts_query_clean_whole(spark, d):
+    """``fts_query_clean`` over whole contents; the SQL beside that one is of their first 200 characters."""
+    return docs(spark, d).select("id", X.fts_query(c("content")).alias("q"))
+
+
 def quality_audit(spark, d):
     a = table(spark, d, "tmp_audit").where("snippet is not null").select("eid", "snippet").distinct()
     s = c("snippet")
@@ -240,7 +245,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_ids, pii_mask, detect_type, numeric_extract, hashtag_extract, keyword_infect, year_tags, infected_tags, scan_tags, system_tags_from_path, bucket_from_path, display_tags, split_sentences, sentence_offsets, split_rows,
-        split_code, split_fences, simhash_fingerprint, simhash_neardup, simhash_classes, html_to_text, html_title, temporal_tags, clean_sanitize, clean_text, technical_normalised, fts_query_clean, quality_audit, suspect_counts,
+        split_code, split_fences, simhash_fingerprint, simhash_neardup, simhash_classes, html_to_text, html_title, temporal_tags, clean_sanitize, clean_text, technical_normalised, fts_query_clean, fts_query_clean_whole, quality_audit, suspect_counts,
         token_soup, soup_sanitised, entity_extract, content_dates, token_estimates, file_classes, conversation_files, compact_summaries, chunk_strategies, topology_molecules, topology_edges, flexible_timestamps, flexible_timestamps_whole, uuid_app_ids, char_similarity,
     )
 } | {"chunk_prose": _chunks(K.chunk_prose), "chunk_code": _chunks(K.chunk_code), "chunk_paragraphs": _chunks(K.chunk_paragraphs), "chunk_overlapping": _chunks(K.chunk_overlapping)}
