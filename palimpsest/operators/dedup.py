@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_shared
+
 BANDS = 3
 
 
@@ -67,6 +69,27 @@ def suppress(results: DataFrame, by: str = "query_id", key: str = "id", c: str =
     return results.groupBy(by).applyInArrow(greedy, schema)
 
 
+def suppress_all(df: DataFrame, key: str = "id", c: str = "simhash") -> DataFrame:
+    """(key): rows kept by the greedy suppression over a whole table, least key first; fingerprint 0 and null are exempt.
+
+    A class stands for its least key. In rounds over the pairs of near classes, those with no undecided earlier neighbour are kept
+    and their later neighbours dropped; a round leaves the pairs that are still undecided, so no task holds more than its share."""
+    first = df.where(F.col(c) != 0).groupBy(c).agg(F.min(key).alias("first_key"))
+    ends = [first.select(F.col(c).alias(x), F.col("first_key").alias(f"{x}_key")) for x in "ab"]
+    pairs = near_pairs(df, key, c).join(ends[0], "a").join(ends[1], "b")
+    open_pairs = write_shared(pairs.select(F.least("a_key", "b_key").alias("lo"), F.greatest("a_key", "b_key").alias("hi")), "near_pairs")
+    dropped = []
+    while not open_pairs.isEmpty():
+        kept = open_pairs.select("lo").join(open_pairs.select(F.col("hi").alias("lo")), "lo", "left_anti").distinct()
+        out = write_shared(open_pairs.join(kept, "lo", "left_semi").select("hi").distinct(), "near_dropped")
+        dropped.append(out)
+        open_pairs = write_shared(open_pairs.join(out, "hi", "left_anti").join(out.select(F.col("hi").alias("lo")), "lo", "left_anti"), "near_pairs")
+    heads = first.select(F.col("first_key").alias(key))
+    if dropped:
+        heads = heads.join(union_all(dropped).select(F.col("hi").alias(key)), key, "left_anti")
+    return heads.unionByName(df.where(F.coalesce(F.col(c), F.lit(0)) == 0).select(key))
+
+
 def merged_lists(df: DataFrame, by: str, *lists: str) -> DataFrame:
     """Distinct elements of the list columns of each group, in order."""
     return df.groupBy(by).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_set(x)))).alias(x) for x in lists])

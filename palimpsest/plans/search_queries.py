@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..operators import dedup, graph, links, packing
 from ..operators import organize as O
 from ..operators import retrieval as R
-from ..session import table
+from ..session import table, write_shared
 from .base import DOCS, MEMORY, docs, joined, memory
 
 c = F.col
@@ -108,8 +108,8 @@ def file_cascade(spark, d):
 
 
 def near_dup_suppressed(spark, d):
-    m = memory(spark, d).withColumn("simhash", K.simhash("content")).withColumns({"query_id": F.lit(1), "score": F.lit(1.0)}).where(F.get("tags", F.lit(0)) == "Pressure")
-    return dedup.suppress(m.select("query_id", "id", "simhash", "tags", "buckets", "score")).select("id")
+    """Documents that no kept earlier one nearly equals, over the whole table."""
+    return dedup.suppress_all(write_shared(docs(spark, d).select("id", K.simhash("content").alias("simhash")), "simhashes"))
 
 
 def pack_budget(spark, d):

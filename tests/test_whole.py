@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from palimpsest.operators import dedup
 from palimpsest.plans import catalogue
 
 QUERIES = catalogue.queries()
@@ -78,3 +79,28 @@ def test_whole_contents_are_cleaned(spark, tables):
     texts = [(1, "Say: 'NEAR'(x)* " * 50 + "AND\n\tend!"), (2, "short?"), (3, "")]
     got = {r.id: r.q for r in QUERIES["fts_query_clean_whole"](spark, tables("documents", documents(texts), DOC)).collect()}
     assert got == {1: "say near x " * 50 + "and end", 2: "short", 3: ""}
+
+
+def greedy(prints):
+    kept = []
+    for i, h in sorted(prints):
+        if not h or not any(g and ((h ^ g) & (2**64 - 1)).bit_count() < 3 for _, g in kept):
+            kept.append((i, h))
+    return sorted(i for i, _ in kept)
+
+
+def test_suppression_over_a_whole_table(spark):
+    rng = random.Random(3)
+    values = [rng.getrandbits(63) - rng.getrandbits(62) for _ in range(12)]
+    prints = [(i, rng.choice(values) ^ (1 << rng.randrange(6)) ^ (1 << rng.randrange(6))) for i in range(300)]
+    prints += [(400 + i, (1 << (2 * i)) - 1) for i in range(1, 20)]  # a chain: each is two bits from the next
+    prints += [(500, 0), (501, 0), (502, None)]
+    rng.shuffle(prints)
+    got = sorted(r.id for r in dedup.suppress_all(spark.createDataFrame(prints, "id bigint, simhash bigint")).collect())
+    assert got == greedy(prints) and 30 < len(got) < 200
+
+
+def test_near_copies_of_any_document_are_suppressed(spark, tables):
+    say = lambda seed: " ".join(random.Random(seed).choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(60))
+    texts = [(1, say(1)), (2, say(2)), (3, say(1)), (4, say(2)), (5, say(5)), (6, "")]
+    assert sorted(r.id for r in QUERIES["near_dup_suppressed"](spark, tables("documents", documents(texts), DOC)).collect()) == [1, 2, 5, 6]
