@@ -70,7 +70,7 @@ def fold(events: DataFrame, session: str, message: str, version: str, turn: str,
 
 
 def judge(turns: DataFrame) -> DataFrame:
-    """(session_id, n_turns, reason): reason is null for a session to keep."""
+    """(session_id, n_turns, least, reason): the least turn number; reason is null for a session to keep."""
     what = F.struct(F.coalesce("role", F.lit("?")).alias("role"), "mark")
     per_turn = turns.groupBy("session_id", "turn_num").agg(F.min(what).alias("lo"), F.max(what).alias("hi"), F.min("says").alias("says"))
     talk = F.when(F.col("lo.role") != "system", F.col("turn_num"))
@@ -93,16 +93,16 @@ def judge(turns: DataFrame) -> DataFrame:
         .when(F.coalesce(F.col("opens"), F.lit("")) != "user", "opening")
         .when(F.coalesce(F.col("closes"), F.lit("")) != "assistant", "unanswered")
     )
-    return s.select("session_id", "n_turns", reason.alias("reason"))
+    return s.select("session_id", "n_turns", "least", reason.alias("reason"))
 
 
 def conversations(turns: DataFrame) -> DataFrame:
     """Turns of the kept sessions, one row each: (session_id, position, turn_num, role, content, n_turns).
 
-    A conversation stays a run of rows, in order within a partition; it is never gathered into one value, as it may be of any length."""
-    kept = judge(turns).where("reason is null").select("session_id", "n_turns")
+    A conversation stays a run of rows, in order within a partition, and a long one goes on in the next; it is never gathered into one value,
+    as it may be of any length."""
+    kept = judge(turns).where("reason is null").select("session_id", "n_turns", "least")
     one = turns.groupBy("session_id", "turn_num").agg(F.min(F.struct("role", "content")).alias("t"))
-    out = one.join(kept, "session_id").select("session_id", "turn_num", "t.role", "t.content", "n_turns")
     # without a gap the position follows from the number and the least number
-    least = one.groupBy("session_id").agg(F.min("turn_num").alias("least"))
-    return out.join(least, "session_id").select("session_id", (F.col("turn_num") - F.col("least")).alias("position"), "turn_num", "role", "content", "n_turns")
+    out = one.join(kept, "session_id").select("session_id", (F.col("turn_num") - F.col("least")).alias("position"), "turn_num", "t.role", "t.content", "n_turns")
+    return out.repartitionByRange("session_id", "turn_num").sortWithinPartitions("session_id", "turn_num")

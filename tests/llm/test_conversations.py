@@ -48,6 +48,18 @@ def test_fold_of_edits_and_deletes(spark):
     assert got == [(0, "user", "better"), (1, "assistant", "answer")]
 
 
+def test_turns_come_in_order(spark):
+    rows = [r for n in range(1, 40) for r in talk(f"s{n:02}", *[("user", f"q{n}"), ("bot", f"a{n}")] * (200 if n == 7 else 3), ids=10 * n)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables would end in one partition
+    try:
+        df = C.conversations(C.fold(log(spark, rows[::-1]), **COLS, keep_content=True))
+        got = [(r.part, r.session_id, r.turn_num) for r in df.withColumn("part", F.spark_partition_id()).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows) and [r[1:] for r in got] == sorted(r[1:] for r in got)
+    assert len({p for p, s, _ in got if s == "s07"}) > 1
+
+
 def test_null_ids_and_empty_log(spark):
     rows = [("s", None, 1, "user", "a", None), ("s", None, 2, "bot", "b", None), ("s", None, 2, "bot", "b", None)]
     assert reasons(spark, rows) == {"s": None}
