@@ -39,7 +39,8 @@ MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oc
 MONTH = "|".join(sorted(MONTHS, key=len, reverse=True))
 DAY_NAME = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?)"
 
-CANONICAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[.][0-9]{6}[+]00:00$"
+#: For Spark; a ``$`` would also fit before a last line end.
+CANONICAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[.][0-9]{6}[+]00:00\z"
 
 _TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d{1,12}))?)?(?:\s*(?P<ap>[ap])\.?m\.?(?![a-z]))?"
 _ZONE = r"(?:\s*(?P<z>z|(?:utc|gmt)?\s*[+-]\d{2}(?::?\d{2})?|[a-z]{1,5}|[a-z]+(?:/[a-z0-9_+-]+)+)(?:\s*\[(?P<rz>[a-z0-9_+/-]+)\]|\s*\([a-z .'-]+\))?)?"

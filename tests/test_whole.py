@@ -104,3 +104,11 @@ def test_near_copies_of_any_document_are_suppressed(spark, tables):
     say = lambda seed: " ".join(random.Random(seed).choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(60))
     texts = [(1, say(1)), (2, say(2)), (3, say(1)), (4, say(2)), (5, say(5)), (6, "")]
     assert sorted(r.id for r in QUERIES["near_dup_suppressed"](spark, tables("documents", documents(texts), DOC)).collect()) == [1, 2, 5, 6]
+
+
+def test_a_line_end_is_not_canonical(spark, tables):
+    canonical = "2025-01-16T13:22:37.880182+00:00"
+    tables("conversation_turns", [(9, None, None)], "id bigint, timestamp string, client_tz string")
+    d = tables("repair_canary_run2", [("a", canonical, None), ("b", canonical + "\n", canonical + "\r\n")], "repair_id string, s_created_at string, orig_created_at string")
+    got = sorted((r.src_field, r.row_key, r.utc_us) for r in QUERIES["p4_found"](spark, d).collect())
+    assert got == [("orig_created_at", "b", 1737033757880182), ("s_created_at", "b", 1737033757880182)]
