@@ -39,5 +39,11 @@ def p4_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(done).groupBy("src_table", "src_field", "format", "status").agg(F.count("*").alias("n"), F.round(F.min("posterior"), 6).alias("least_posterior"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_status": p4_status}
+def p4_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values whose best reading stays unsure when no convention is given."""
+    left = T.normalise(values(spark, sf_dir)).where("status = 'ambiguous'")
+    return _named(left).select("src_table", "src_field", "row_key", "format", "utc_us", F.round("posterior", 6).alias("posterior")).distinct()
+
+
+QUERIES = {"p4_found": p4_found, "p4_status": p4_status, "p4_ambiguous": p4_ambiguous}
 SQL: dict[str, str] = {}

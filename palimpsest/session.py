@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -15,7 +16,7 @@ BLANKS = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2
 
 
 def build_session(app: str = "palimpsest", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators assume (UTC, AQE); explicit ``conf`` entries win."""
+    """A session with the settings the operators assume (UTC, AQE), whose workers find this package; explicit ``conf`` entries win."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -28,7 +29,9 @@ def build_session(app: str = "palimpsest", master: str | None = None, **conf: st
     }
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    on_workers(spark)
+    return spark
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -51,16 +54,40 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < min(n, 64) else df
 
 
+#: Folders that this process wrote, and their sessions.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder all executors share (``spark.checkpoint.dir``).
+    """A fresh path in the folder all executors share (``spark.checkpoint.dir``); ``release`` removes it.
 
-    Where that setting is absent (tests on one machine) a temporary folder is set for the session."""
+    Only a local session may leave that setting out (tests): it gets a temporary folder. On a cluster its absence is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = set_dir.get() if set_dir.isDefined() else tempfile.mkdtemp(prefix="palimpsest_")
+        if set_dir.isDefined():
+            root = set_dir.get()
+        elif spark.sparkContext.master.startswith("local"):
+            root = tempfile.mkdtemp(prefix="palimpsest_")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{what}_{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{what}_{uuid.uuid4().hex[:12]}"
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Remove the shared folders written so far. Results that were not yet read from them are lost; at the end of the process it runs by itself."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session has ended: nothing can be removed through it
+            continue
 
 
 def write_shared(df: DataFrame, what: str, *partition: str) -> DataFrame:
@@ -72,10 +99,6 @@ def write_shared(df: DataFrame, what: str, *partition: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def strip(c: Column) -> Column:
     """Trim Unicode white space on both sides."""
     return F.regexp_replace(c, rf"^[{BLANKS}]+|[{BLANKS}]+$", "")

@@ -52,10 +52,18 @@ def us(*a):
         ("9" * 100_000, None, None),
         ("٢٠٢٥-٠١-٠٢ 10:00", None, None),
         ("0001-01-01 00:00:00+14:00", None, -62_135_647_200_000_000),
+        ("2024-01-02 03:04:05.1234567890123", None, us(2024, 1, 2, 3, 4, 5) + 123_456),
+        ("2024-01-02T03:04:05.123456789012345Z", None, us(2024, 1, 2, 3, 4, 5) + 123_456),
+        ("2024-01-02T03:04:05." + "1" * 5000 + "Z", None, us(2024, 1, 2, 3, 4, 5) + 111_111),
+        ("1735777155." + "3" * 400, None, 1_735_777_155_333_333),
+        ("Tue Jan 02 2024 03:04:05 GMT+0100 (Mitteleurop\u00e4ische Zeit)", None, us(2024, 1, 2, 2, 4, 5)),
+        ("Tue Jan 02 2024 03:04:05 GMT+0100 (" + "a zone of many words " * 20 + ")", None, us(2024, 1, 2, 2, 4, 5)),
+        ("2025-01-02 \u00a0 " + " " * 500 + "10:00:00", None, us(2025, 1, 2, 10)),
+        ("599999999", None, None),  # before the plausible instants in every unit
     ],
 )
 def test_readings(value, zone, want):
-    got = T.readings(value, zone, T.US_SLASH_EU_DOT)
+    got = [(f, u) for f, u in T.readings(value, zone) if T.US_SLASH_EU_DOT.get(f, 1)]
     assert [u for _, u in got] == ([] if want is None else [want])
 
 
@@ -73,6 +81,20 @@ def test_mixture_decides_day_and_month(spark):
     assert got["even", "q"].status == "ambiguous" and abs(got["even", "q"].posterior - 0.5) < 1e-6
 
 
+def test_a_convention_decides_through_the_posterior(spark):
+    rows = [("x", f"a{i}", f"{i}/1/2025 10:00:00", None) for i in range(13, 29)] + [("x", "q", "3/4/2025 10:00:00", None), ("x", "d", "03.04.2025 10:00", None)]
+    got = {r.row_key: r for r in T.normalise(frame(spark, rows), T.US_SLASH_EU_DOT).collect()}
+    assert (got["q"].format, got["q"].status, got["q"].utc_us, got["q"].posterior) == ("slash_mdy", "ok", us(2025, 3, 4, 10), 1.0)
+    assert (got["d"].format, got["d"].utc_us) == ("dot_dmy", us(2025, 4, 3, 10))
+    assert {(got[f"a{i}"].status, got[f"a{i}"].utc_us, got[f"a{i}"].format) for i in range(13, 29)} == {("none", None, None)}
+
+
+def test_priors_short_of_nothing_are_outweighed(spark):
+    rows = [("x", f"a{i}", f"{i}/1/2025 10:00:00", None) for i in range(13, 29)] + [("x", "q", "3/4/2025 10:00:00", None)]
+    got = {r.row_key: r for r in T.normalise(frame(spark, rows), {"slash_dmy": 0.1}).collect()}
+    assert got["q"].format == "slash_dmy" and got["q"].status == "ok"
+
+
 def test_no_rows_and_no_readings(spark):
     assert T.normalise(frame(spark, [])).collect() == []
     r = T.normalise(frame(spark, [("s", "1", "x", None), ("s", None, None, None)])).collect()
@@ -86,3 +108,5 @@ def test_p4_on_the_tables(spark, sf):
     assert got and len(got) == len({tuple(r) for r in got})
     n = {r["status"]: r["n"] for r in q.p4_status(spark, sf).groupBy("status").sum("n").withColumnRenamed("sum(n)", "n").collect()}
     assert n["ok"] > 0 and n["none"] > 0
+    unsure = q.p4_ambiguous(spark, sf)
+    assert unsure.count() == unsure.select("src_table", "src_field", "row_key").distinct().count() and {r.format for r in unsure.collect()} <= {f for f, _ in T._DATES}
