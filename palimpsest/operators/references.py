@@ -1,9 +1,12 @@
 """References to records that do not exist.
 
-Parents are range-partitioned by key: boundaries come from a bounded sample, each range becomes one sorted array of keys
-with their arrival times, and references are probed against the arrays in vectorised batches by binary search. A range
-that many references hit (one hot key may take a third of all rows) is split into salted slices; its array, which is
-bounded by the range size, is copied to every slice.
+Keys are range-partitioned in the order of their 64-bit digest: ranges of equal width hold about as many keys each, so their
+number follows from the number of parents alone, without a sample and without a bound on it. Each range's parents are one
+sorted array of digests beside their keys and times; references are probed against it in vectorised batches by binary
+search, and the keys themselves are compared at the places found, so that equal digests of different keys change nothing.
+A range that many references hit (one hot key may take a third of all rows) is split into salted slices; its array, which
+is bounded by the range size, is copied to every slice. Both sides are normalised and written once; every later pass reads
+what was written. The number of tasks grows with the ranges and slices.
 
 Defined results: a null or blank reference is no reference; a repeated record counts once, with its first arrival; an
 absent arrival time of a parent counts as "always there", one of a record as "after everything"; of several deletions the
@@ -12,18 +15,19 @@ last counts; an empty parent table leaves every reference dangling; an empty ref
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import norm_key
+from ..session import norm_key, write_shared
 
 EARLY, LATE = -(2**62), 2**62
-#: Keys a range aims at, references a slice aims at, and rows sampled for the boundaries.
-RANGE_KEYS, SLICE_REFS, SAMPLE_ROWS = 100_000, 200_000, 20_000
+#: Keys a range aims at, and references a slice aims at.
+RANGE_KEYS, SLICE_REFS = 50_000, 100_000
 
 FINDING = "ref_table string, ref_field string, ref_key string, arrived bigint, reason string"
 
@@ -51,75 +55,52 @@ def references_of(df: DataFrame, ref_table: str, ref_field: str, target: str, re
     return r.select(F.lit(target).alias("target"), "key", F.lit(ref_table).alias("ref_table"), F.lit(ref_field).alias("ref_field"), "ref_key", "arrived")
 
 
-def boundaries(parents: DataFrame, n_keys: int, range_keys: int = RANGE_KEYS) -> list[str]:
-    """Upper bounds of the key ranges, from at most SAMPLE_ROWS sampled keys (only their placement depends on the sample)."""
-    ranges = max(1, min(4096, -(-n_keys // range_keys)))
-    if ranges == 1:
-        return []
-    share = min(1.0, SAMPLE_ROWS / max(1, n_keys))
-    keys = sorted(r.k for r in parents.select(F.concat_ws("\x01", "target", "key").alias("k")).sample(share, seed=7).limit(SAMPLE_ROWS).collect())
-    return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
+def digest() -> Column:
+    """Digest by whose order keys are range-partitioned."""
+    return F.xxhash64("target", "key")
 
 
-def _range_of(bounds: list[str]):
-    edges = np.array(bounds, dtype=object)
-
-    @F.pandas_udf("int")
-    def place(target, key):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        full = (target + "\x01" + key).to_numpy(dtype=object)
-        return pd.Series(np.searchsorted(edges, full, side="right").astype("int32"))
-
-    return place
-
-
-def _probe(_key, refs: pa.Table, arrays: pa.Table) -> pa.Table:
+def _probe(_key, refs: pa.Table, parents: pa.Table) -> pa.Table:
     """Binary search of one slice of references in the sorted array of its range."""
-    full = np.array([f"{t}\x01{k}" for t, k in zip(refs["target"].to_pylist(), refs["key"].to_pylist())], dtype=object)
-    arrived = refs["arrived"].to_numpy()
-    if arrays.num_rows:
-        row = arrays.slice(0, 1)
-        keys, first, last, gone = (row[c].chunk(0).values for c in ("keys", "first", "last", "gone"))
-        keys, first, last, gone = keys.to_numpy(zero_copy_only=False), first.to_numpy(), last.to_numpy(), gone.to_numpy()
-    else:
-        keys, first, last, gone = np.array([], dtype=object), *(np.array([], dtype="int64") for _ in range(3))
-    at = np.searchsorted(keys, full)
-    inside = np.minimum(at, max(0, len(keys) - 1))
-    hit = (at < len(keys)) & (keys[inside] == full) if len(keys) else np.zeros(len(full), bool)
-    reason = np.full(len(full), "", dtype=object)
-    reason[~hit] = "absent"
-    if len(keys):
-        reason[hit & (first[inside] > arrived)] = "late"
-        reason[hit & (gone[inside] > EARLY) & (last[inside] <= gone[inside])] = "deleted"
+    parents = parents.take(pc.sort_indices(parents["digest"]))
+    keys, first, last, gone = (parents[c].to_numpy() for c in ("digest", "first_us", "last_us", "gone"))
+    want, arrived = refs["digest"].to_numpy(), refs["arrived"].to_numpy()
+    names, wanted = (pc.binary_join_element_wise(t["target"], t["key"], "\x01").combine_chunks() for t in (parents, refs))
+    at, hit = np.searchsorted(keys, want), np.zeros(len(want), bool)
+    look = np.flatnonzero(at < len(keys))
+    while len(look):  # once, but for different keys of one digest: those go on to the next place
+        look = look[keys[at[look]] == want[look]]
+        same = pc.equal(names.take(pa.array(at[look])), wanted.take(pa.array(look))).to_numpy(zero_copy_only=False)
+        hit[look[same]] = True
+        look = look[~same]
+        at[look] += 1
+        look = look[at[look] < len(keys)]
+    reason = np.full(len(want), "absent", dtype=object)
+    found = np.flatnonzero(hit)
+    p = at[found]
+    reason[found] = np.where((gone[p] > EARLY) & (last[p] <= gone[p]), "deleted", np.where(first[p] > arrived[found], "late", ""))
     miss = np.flatnonzero(reason != "")
-    out = refs.select(["ref_table", "ref_field", "ref_key", "arrived"]).take(miss)
+    out = refs.select(["ref_table", "ref_field", "ref_key", "arrived"]).take(pa.array(miss))
     return out.append_column("reason", pa.array(reason[miss], pa.string()))
 
 
 def find_dangling(refs: DataFrame, parents: DataFrame, range_keys: int = RANGE_KEYS, slice_refs: int = SLICE_REFS) -> DataFrame:
     """Dangling references: FINDING rows, each with its reason (absent, deleted, late)."""
-    counted = parents.groupBy().agg(F.count("*").alias("n")).first()
-    bounds = boundaries(parents, counted.n, range_keys)
-    if bounds:
-        place = _range_of(bounds)
-        ranged = lambda df: df.withColumn("range", place("target", "key"))
-    else:
-        ranged = lambda df: df.withColumn("range", F.lit(0))
-    refs_r, parents_r = ranged(refs), ranged(parents)
-    slices = {r.range: max(1, -(-r.n // slice_refs)) for r in refs_r.groupBy("range").agg(F.count("*").alias("n")).collect()}  # at most 4096 ranges
-    many = F.create_map(*[F.lit(x) for kv in slices.items() for x in kv]) if slices else F.create_map(F.lit(0), F.lit(1))
-    width = F.coalesce(many[F.col("range")], F.lit(1))
-    # pmod of a hash of the record, so that a hot key is spread over its range's slices
-    refs_s = refs_r.withColumn("slice", F.pmod(F.xxhash64("ref_table", "ref_field", "ref_key"), width.cast("bigint")).cast("int"))
-    entry = F.struct(F.concat_ws("\x01", "target", "key").alias("k"), "first_us", "last_us", F.coalesce("deleted_us", F.lit(EARLY)).alias("gone"))
-    arrays = parents_r.groupBy("range").agg(F.array_sort(F.collect_list(entry), _by_bytes).alias("e"))
-    arrays = arrays.select("range", F.explode(F.sequence(F.lit(0), width - 1)).alias("slice"), F.col("e.k").alias("keys"), F.col("e.first_us").alias("first"), F.col("e.last_us").alias("last"), F.col("e.gone").alias("gone"))
-    return refs_s.groupBy("range", "slice").cogroup(arrays.groupBy("range", "slice")).applyInArrow(_probe, FINDING)
-
-
-def _by_bytes(a: Column, b: Column) -> Column:
-    return F.when(a.k < b.k, -1).when(a.k > b.k, 1).otherwise(0)
+    spark = refs.sparkSession
+    parents = write_shared(parents.select("target", "key", "first_us", "last_us", F.coalesce("deleted_us", F.lit(EARLY)).alias("gone"), digest().alias("digest")), "parents")
+    refs = write_shared(refs.withColumn("digest", digest()), "references")
+    n_keys, n_refs = parents.count(), refs.count()  # from the files' footers
+    bits = max(0, math.ceil(math.log2(max(1, n_keys / range_keys))))
+    ranged = lambda df: df.withColumn("range", F.shiftrightunsigned("digest", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    # only ranges that need several slices: at most n_refs / slice_refs of them
+    wide = ranged(refs.select("digest")).groupBy("range").agg(F.count("*").alias("n")).where(F.col("n") > slice_refs).select("range", F.ceil(F.col("n") / slice_refs).alias("width"))
+    wide = F.broadcast(wide)
+    width = F.coalesce("width", F.lit(1).cast("bigint"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2**bits + n_refs // slice_refs)
+    salt = F.pmod(F.xxhash64("ref_table", "ref_field", "ref_key"), width)  # of the record, so that a hot key is spread over its range's slices
+    sliced = ranged(refs).join(wide, "range", "left").withColumn("slice", salt).drop("width").repartition(tasks, "range", "slice")
+    copies = ranged(parents).join(wide, "range", "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), width - 1))).drop("width").repartition(tasks, "range", "slice")
+    return sliced.groupBy("range", "slice").cogroup(copies.groupBy("range", "slice")).applyInArrow(_probe, FINDING)
 
 
 def by_month(found: DataFrame) -> DataFrame:

@@ -72,3 +72,14 @@ def test_months(spark):
     parents = R.parents_of(spark.createDataFrame([], PAR), "p", "k", "at", None, "gone")
     got = {(r.month, r.reason, r.dangling) for r in R.by_month(R.find_dangling(refs, parents)).collect()}
     assert got == {("2025-01", "absent", 1), (None, "absent", 1)}
+
+
+def test_equal_digests_of_different_keys():
+    import pyarrow as pa
+
+    parents = pa.table({"target": ["p"] * 4, "key": ["a", "b", "c", "z"], "first_us": [0, 9, 0, 0], "last_us": [0, 9, 0, 0], "gone": [R.EARLY, R.EARLY, 5, R.EARLY], "digest": [7, 7, 7, 8]})
+    refs = pa.table({"target": ["p"] * 6, "key": ["a", "b", "c", "d", "y", "z"], "ref_table": ["t"] * 6, "ref_field": ["f"] * 6, "ref_key": list("123456"), "arrived": [3] * 6, "digest": [7, 7, 7, 7, 9, 8]})
+    got = R._probe(None, refs, parents)
+    assert list(zip(got["ref_key"].to_pylist(), got["reason"].to_pylist())) == [("2", "late"), ("3", "deleted"), ("4", "absent"), ("5", "absent")]
+    assert R._probe(None, refs.slice(0, 0), parents).num_rows == 0
+    assert set(R._probe(None, refs, parents.slice(0, 0))["reason"].to_pylist()) == {"absent"}
