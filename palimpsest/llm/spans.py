@@ -9,7 +9,9 @@ nodes' degrees. A compacted path of at least ``least`` characters is a shared sp
 every branching node, the characters around the node's source coordinates decide: all spans of ``least`` characters that
 hold the node are compared by content among the texts that share it, which gives the exact ends.
 
-Contents are compared by 64-bit hashes. Defined results: null, empty and shorter texts share nothing; exact copies share
+64-bit hashes only propose: nodes that two k-mers share by chance, and stretches whose keys agree, are settled by comparing
+the characters themselves. Only equal texts, the edges of a compacted path and the stretches of hot nodes are told by
+cryptographic digests of their contents (SHA-256, and BLAKE2b of 128 bits) instead of by the contents. Defined results: null, empty and shorter texts share nothing; exact copies share
 their whole length; a span that only repeats within its own record is not shared; overlapping spans count once.
 """
 
@@ -17,10 +19,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +32,9 @@ LEAST, K = 200, 72
 #: Characters of a text, or of several, that are handled at once.
 SEGMENT = 1 << 18
 #: Members of a branching node that one task may compare; a node with more is compared by a distributed aggregate.
-HOT = 200_000
+HOT = 50_000
 #: Stretches that one task compares at once; those of a larger node are compared in slices of their keys.
-STRETCHES = 1 << 22
+STRETCHES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
@@ -202,17 +204,24 @@ def _nodes(least: int, k: int):
             edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else np.zeros(1, int)
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 repeated[s:e] = np.isin(h[s:e], np.array(tokens[own[s]], np.int64))
-            before, after = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-            link = np.flatnonzero(repeated[1:] & repeated[:-1] & (own[1:] == own[:-1])) if len(own) else []
-            for i in link:
-                x = xxhash.xxh3_64_intdigest(texts[own[i]][at[i] : at[i + 1] + k].encode("utf-8", "surrogatepass")) | 1
-                after[i] = before[i + 1] = x - (1 << 64) if x >> 63 else x
+            before, after = np.zeros((2, len(own)), np.int64), np.zeros((2, len(own)), np.int64)
+            link = np.flatnonzero(repeated[1:] & repeated[:-1] & (own[1:] == own[:-1])) if len(own) else np.zeros(0, int)
+            if len(link):
+                parts = zip(own[link].tolist(), at[link].tolist(), (at[link + 1] + k).tolist())
+                names = np.frombuffer(b"".join(_name(texts[i][x:y]) for i, x, y in parts), np.int64).reshape(-1, 2).T
+                after[:, link] = before[:, link + 1] = names
             r = repeated
-            yield pa.RecordBatch.from_arrays([pa.array(h[r]), pa.array(before[r]), pa.array(after[r]), pa.array(cid[own[r]]), pa.array(at[r])], names=["h", "before", "after", "cid", "at"])
+            cols = [h[r], *before[:, r], *after[:, r], cid[own[r]], at[r]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["h", "before", "before2", "after", "after2", "cid", "at"])
 
     return run
 
 
+def _name(stretch: str) -> bytes:
+    """Digest of a stretch's characters."""
+    return blake2b(stretch.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 FOUND = "cid bigint, s bigint, e bigint, h bigint, members bigint, lead bigint, around string"
 
 
@@ -254,8 +263,27 @@ def _around(lead: np.ndarray, texts: list[str], least: int) -> tuple[np.ndarray,
     return row, inside - lead[row], g[first[row] + inside] if len(row) else g[:0]
 
 
+def _verified(row: np.ndarray, off: np.ndarray, twin: np.ndarray, lead: np.ndarray, texts: list[str], least: int) -> np.ndarray:
+    """Which stretches (row, offset) have the same characters as their twins' at that offset. Neighbouring offsets with one twin are compared as one."""
+    order = np.lexsort((off, twin, row))
+    r, t, o = row[order], twin[order], off[order]
+    cut = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (t[1:] != t[:-1]) | (o[1:] != o[:-1] + 1)]) if len(r) else np.zeros(0, int)
+    last = np.r_[cut[1:], len(r)] - 1 if len(r) else cut
+    good = np.ones(len(r), bool)
+    for s, e, a, b, x, y in zip(cut.tolist(), last.tolist(), (lead[r[cut]] + o[cut]).tolist(), (lead[t[cut]] + o[cut]).tolist(), r[cut].tolist(), t[cut].tolist()):
+        n = e - s + least
+        if texts[x][a : a + n] != texts[y][b : b + n]:
+            good[s : e + 1] = [texts[x][a + i : a + i + least] == texts[y][b + i : b + i + least] for i in range(e - s + 1)]
+    out = np.empty(len(r), bool)
+    out[order] = good
+    return out
+
+
 def _compare(h: np.ndarray, cid: np.ndarray, at: np.ndarray, lead: np.ndarray, texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cid, s, e) of members whose surroundings share a stretch with another text's; rows of whole groups."""
+    """(cid, s, e) of members whose surroundings share a stretch with another text's; rows of whole groups.
+
+    Stretches are grouped by a key of their node, offset and hash; each is then compared, character by character, with one of another
+    text in its group. Where that fails, its group is told apart by the characters."""
     slices = max(1, -(-sum(max(0, len(t) - least + 1) for t in texts) // STRETCHES))
     lo, hi = np.full(len(texts), 1 << 40), np.full(len(texts), -(1 << 40))
     for part in range(slices):
@@ -273,13 +301,25 @@ def _compare(h: np.ndarray, cid: np.ndarray, at: np.ndarray, lead: np.ndarray, t
         row, off, key = (np.concatenate(x) for x in (rows, offs, keys))
         if not len(row):
             continue
-        order = np.argsort(key, kind="stable")
-        ks, cs = key[order], cid[row[order]]
+        order = np.lexsort((cid[row], key))
+        row, off, ks = row[order], off[order], key[order]
+        cs = cid[row]
         new = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1]])
-        shared = np.minimum.reduceat(cs, new) != np.maximum.reduceat(cs, new)
-        hit = order[np.repeat(shared, np.diff(np.r_[new, len(ks)]))]
-        np.minimum.at(lo, row[hit], off[hit])
-        np.maximum.at(hi, row[hit], off[hit])
+        many = np.diff(np.r_[new, len(ks)])
+        first, last = np.repeat(new, many), np.repeat(new + many - 1, many)
+        shared = cs[first] != cs[last]
+        row_of, off_of = row[shared], off[shared]
+        twin = row[np.where(cs == cs[first], last, first)[shared]]
+        good = _verified(row_of, off_of, twin, lead, texts, least) & (off_of == off[np.where(cs == cs[first], last, first)[shared]])
+        if not good.all():  # different stretches of one key: the groups they are in are told apart by content
+            bad = np.isin(first[shared], first[shared][~good])
+            owners: dict[tuple, set] = {}
+            spot = lambda i: (int(h[row_of[i]]), int(off_of[i]), texts[row_of[i]][lead[row_of[i]] + off_of[i] :][:least])
+            for i in np.flatnonzero(bad).tolist():
+                owners.setdefault(spot(i), set()).add(int(cid[row_of[i]]))
+            good[bad] = [len(owners[spot(i)]) > 1 for i in np.flatnonzero(bad).tolist()]
+        np.minimum.at(lo, row_of[good], off_of[good])
+        np.maximum.at(hi, row_of[good], off_of[good])
     m = np.flatnonzero(lo <= hi)
     return cid[m], at[m] + lo[m], at[m] + hi[m] + least
 
@@ -318,15 +358,15 @@ def _compare_sorted(least: int):
 
 
 def _explode(least: int):
-    """Every stretch of the members of hot nodes: (g, cid, at, off)."""
+    """Every stretch of the members of hot nodes: (g, cid, at, off); g names the node, the offset and the characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                h, cid, at, lead, around = _columns(b.slice(lo, 1024), "h", "cid", "s", "lead", "around")
-                row, off, g = _around(lead.to_numpy(), around.to_pylist(), least)
-                key = _mix(g ^ _mix(h.to_numpy()[row].view(np.uint64) + (off + least).astype(np.uint64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid.to_numpy()[row]), pa.array(at.to_numpy()[row]), pa.array(off)], names=["g", "cid", "at", "off"])
+            for lo in range(0, b.num_rows, 256):
+                h, cid, at, lead, around = (x.to_pylist() for x in _columns(b.slice(lo, 256), "h", "cid", "s", "lead", "around"))
+                out = [(_name(f"{n} {i - e} {t[i : i + least]}"), c, a, i - e) for n, c, a, e, t in zip(h, cid, at, lead, around) for i in range(len(t) - least + 1)]
+                cols = list(zip(*out)) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.binary(), *[pa.int64()] * 3))], names=["g", "cid", "at", "off"])
 
     return run
 
@@ -338,9 +378,11 @@ def shared_spans(docs: DataFrame, least: int = LEAST, k: int = K, hot: int = HOT
     per_text = repeated.groupBy("cid").agg(F.collect_list("h").alias("tokens"))  # bounded by the text's own length
     texts = write_shared(docs.join(per_text, "cid"), "p8_texts")
 
-    nodes = texts.mapInArrow(_nodes(least, k), "h bigint, before bigint, after bigint, cid bigint, at bigint").repartition("h")
+    # written, so that the join below meets the nodes as they lie: a hot one is split there
+    nodes = write_shared(texts.mapInArrow(_nodes(least, k), "h bigint, before bigint, before2 bigint, after bigint, after2 bigint, cid bigint, at bigint"), "p8_nodes")
     one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
-    degrees = nodes.groupBy("h").agg((one("before") & one("after")).alias("through"), F.count("*").alias("members"))
+    through = one("before") & one("before2") & one("after") & one("after2")
+    degrees = nodes.groupBy("h").agg(through.alias("through"), F.count("*").alias("members"))
     placed = nodes.select("h", "cid", "at").join(degrees, "h")
     paths = placed.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("at", "h", "through", "members"))).alias("nodes"))
     ends = write_shared(texts.select("cid", "text").join(paths, "cid").mapInArrow(_ends(least, k), FOUND), "p8_ends")
@@ -350,7 +392,7 @@ def shared_spans(docs: DataFrame, least: int = LEAST, k: int = K, hot: int = HOT
     spans = ends.where("h is null").select("cid", "s", "e").unionByName(usual)
     wide = member.where(F.col("members") > hot)
     if not wide.isEmpty():
-        cells = wide.mapInArrow(_explode(least), "g bigint, cid bigint, at bigint, off bigint")
+        cells = write_shared(wide.mapInArrow(_explode(least), "g binary, cid bigint, at bigint, off bigint"), "p8_cells")
         several = cells.groupBy("g").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("g")
         found = cells.join(several, "g").groupBy("cid", "at").agg(F.min("off").alias("a"), F.max("off").alias("b"))
         spans = spans.unionByName(found.select("cid", (F.col("at") + F.col("a")).alias("s"), (F.col("at") + F.col("b") + least).alias("e")))
@@ -367,10 +409,11 @@ def covered(spans: DataFrame) -> DataFrame:
 
 def shared_chars(docs: DataFrame, key: str, text: str, least: int = LEAST, k: int = K, hot: int = HOT) -> DataFrame:
     """(key, shared_chars) of the records that share a span of at least ``least`` characters with another record."""
-    long = docs.where(F.length(text) >= least).select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("cid"))
-    distinct = long.groupBy("cid").agg(F.first("text").alias("text"))
-    cover = covered(shared_spans(distinct, least, k, hot))
-    size = long.select("key", "cid", F.length("text").cast("bigint").alias("size"))
-    copies = size.groupBy("cid").agg(F.count("*").alias("copies"), F.max("size").alias("size"))
-    per_text = copies.join(cover, "cid", "left").select("cid", F.when(F.col("copies") > 1, F.col("size")).otherwise(F.coalesce("n", F.lit(0))).alias("shared_chars"))
-    return size.select("key", "cid").join(per_text.where("shared_chars > 0"), "cid").select(F.col("key").alias(key), "shared_chars")
+    long = docs.where(F.length(text) >= least).select(F.col(key).alias("key"), F.col(text).alias("text"), F.sha2(text, 256).alias("digest"), F.length(text).cast("bigint").alias("size"))
+    distinct = long.groupBy("digest").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    # numbered when written, so that a number is of one text whatever is run again
+    distinct = write_shared(distinct.withColumn("cid", F.monotonically_increasing_id()), "p8_distinct")
+    cover = covered(shared_spans(distinct.select("cid", "text"), least, k, hot))
+    known = distinct.select("digest", "cid", "copies").join(cover, "cid", "left").where("copies > 1 or n > 0").select("digest", "copies", "n")
+    chars = F.when(F.col("copies") > 1, F.col("size")).otherwise(F.col("n"))
+    return long.select("key", "digest", "size").join(known, "digest").select(F.col("key").alias(key), chars.alias("shared_chars"))

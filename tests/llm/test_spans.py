@@ -77,6 +77,40 @@ def test_a_node_of_several_parts_is_one_group(spark):
     assert run(spark, texts) == want
 
 
+def footer(n, pairs):
+    """Documents under one footer of 180 characters; pairs of them share 60 more on either side, in places far apart."""
+    rng = random.Random(11)
+    say = lambda m: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(m))
+    foot = say(180)
+    sides = [(say(60), say(60)) for _ in range(pairs)]
+    texts = [(i, say(80) + foot + say(80)) for i in range(n)]
+    for j, (a, b) in enumerate(sides):
+        for i in (j, n - 1 - 7 * j):
+            texts[i] = (i, say(30) + a + foot + b + say(30))
+    want: dict = {}
+    for j in range(pairs):
+        want |= brute([texts[j], texts[n - 1 - 7 * j]], 200)
+    assert len(want) == 2 * pairs and min(want.values()) >= 300
+    return texts, want
+
+
+@pytest.mark.parametrize("hot", [S.HOT, 4000])
+def test_a_footer_of_thousands_hides_no_pair(spark, hot):
+    texts, want = footer(6000, 100)
+    assert run(spark, texts, 200, 72, hot=hot) == want
+
+
+def test_hashes_only_propose(spark, monkeypatch):
+    # all stretches of a node and offset get one key: only the characters can tell them apart
+    monkeypatch.setattr(S, "_mix", lambda x: x & np.uint64(0))
+    h, cid = np.zeros(8, np.int64), np.array([1, 2, 3, 4, 5, 6, 7, 8])
+    core = "c" * 16
+    around = [a + core + b for a, b in [("x" * 24, "y" * 24), ("x" * 24, "z" * 24), ("p" * 24, "q" * 24), ("r" * 24, "s" * 24), ("u" * 23 + "x", "y" * 24), ("x" * 24, "y" * 24), ("q" * 24, "r" * 24), ("d" * 24, "e" * 24)]]
+    lead = np.full(8, 24)
+    got = {int(c): (int(s), int(e)) for c, s, e in zip(*S._compare(h, cid, np.full(8, 100), lead, around, 40))}
+    assert got == {1: (76, 140), 2: (76, 116), 5: (99, 140), 6: (76, 140)}
+
+
 @pytest.mark.parametrize("stretches", [1 << 22, 1000])
 def test_parts_of_a_node_wait_for_its_end(monkeypatch, stretches):
     monkeypatch.setattr(S, "STRETCHES", stretches, raising=False)
