@@ -178,5 +178,6 @@ def pack(items: DataFrame, n_items: int, capacity: int = 2048, group: int = GROU
     whole = whole.select(F.concat(F.lit("d"), "item_key", F.lit(":"), "piece").alias("window_id"), "item_key", "piece", F.lit(capacity).alias("n_tokens"), F.lit(0).alias("offset"))
     rest = items.select("item_key", full.alias("piece"), (F.col("n_tokens") % cap).cast("int").alias("n_tokens")).where("n_tokens > 0")
     groups = max(1, math.ceil(n_items / group))
-    placed = rest.withColumn("g", F.pmod(F.xxhash64("item_key", "piece"), F.lit(groups)).cast("int")).groupBy("g").applyInArrow(_place(capacity), PLACED)
+    # sizes are small and filling is not: without a number of partitions of their own, all groups would be put into one task
+    placed = rest.withColumn("g", F.pmod(F.xxhash64("item_key", "piece"), F.lit(groups)).cast("int")).repartition(groups, "g").groupBy("g").applyInArrow(_place(capacity), PLACED)
     return placed.unionByName(whole)
