@@ -16,6 +16,7 @@ strings are ordinary text.
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 import unicodedata
@@ -25,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Folder of the public vocabularies.
 TOKENIZERS = "/opt/tokenizers"
@@ -190,12 +192,16 @@ class Transducer:
 
     def run(self, data: bytes) -> list[int]:
         """Ids of one word."""
-        if len(self.states) >= STATES:
-            self._clear()
         out: list[int] = []
         s, known = 0, self.next
         for byte in data:
-            to = known.get(s << 8 | byte) or self._make(s, byte)
+            to = known.get(s << 8 | byte)
+            if to is None:
+                if len(self.states) >= STATES:  # also within a long word: the state it is in is the only one that stays
+                    here = self.states[s]
+                    self._clear()
+                    s, known = self._state(here), self.next
+                to = self._make(s, byte)
             s = to[0]
             if to[1]:
                 out += to[1]
@@ -311,10 +317,21 @@ def pieces(text: str | None, chunk: int = CHUNK) -> Iterator[str]:
 
 @lru_cache(maxsize=4)
 def transducer(path: str) -> Transducer:
-    """One per worker process and vocabulary."""
+    """One per worker process and vocabulary; a file that isn't at its path here is the one shipped with the job."""
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     return Transducer(path)
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """The vocabulary's path, after the file was given to the workers where they don't share this machine's disk."""
+    if not spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.addFile(path)
+    return path
+
+
 def vocabulary(name: str = "byte_bpe_50k", root: str = TOKENIZERS) -> str:
     return f"{root}/{name}.json"
 

@@ -49,6 +49,14 @@ def test_odd(t, ref, text):
     assert t.encode(text) == ids(ref, text)
 
 
+def test_states_stay_bounded_within_a_word(ref, monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 40)
+    small = bpe.Transducer(bpe.vocabulary())
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4000))
+    assert small.encode(word) == ids(ref, word) and len(small.states) <= 42
+
+
 def test_null_and_empty(t):
     assert t.encode(None) == [] and t.encode("") == []
     got, n = t.encode_texts([None, "", "a", None])
