@@ -7,8 +7,9 @@ turn. Sessions are then judged by aggregates alone, so a session that holds a th
 A session is kept only if no two different turns share a number, the numbers start at 0 or 1 without a gap, every speaker
 is known, every content says something, and, system turns aside, the user opens and the assistant closes.
 
-Defined results: keys compare trimmed and in lower case; rows without a session belong nowhere; a null turn number, a
-session of system turns only, and unknown or null speakers drop the session; a message without id is its own message.
+An edit may move a message to another session; the old session then no longer has it. Defined results: keys compare trimmed and in lower case; rows without a session belong nowhere; a null turn number, a
+session of system turns only, and unknown or null speakers drop the session; a message without id is its own message; a
+last version without a session belongs nowhere.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import norm_key, strip
+from ..session import norm_key, strip, write_shared
 
 # Spellings of the three roles.
 ROLES = {
@@ -59,20 +60,25 @@ def fold(events: DataFrame, session: str, message: str, version: str, turn: str,
     """Final turns (session_id, turn_num, role, says, mark[, content]). ``op``: column that is 'delete' for a delete."""
     text = strip(F.col(content))
     digest = F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"), F.length(text).alias("n"))
-    state = [F.col(version).alias("version"), F.col(turn).alias("turn_num"), role(F.col(speaker)).alias("role"), F.coalesce(says_something(F.col(content)), F.lit(False)).alias("says"), digest.alias("mark")]
+    state = [F.col(version).alias("version"), norm_key(F.col(session)).alias("session_id"), F.col(turn).alias("turn_num"), role(F.col(speaker)).alias("role"), F.coalesce(says_something(F.col(content)), F.lit(False)).alias("says"), digest.alias("mark")]
     if keep_content:
         state.append(text.alias("content"))
     state.append((F.lower(F.col(op)) == "delete" if op else F.lit(False)).alias("gone"))
-    key = F.coalesce(F.col(message).cast("string"), F.concat_ws("\x01", F.lit("row"), F.col(turn), F.col(speaker), F.xxhash64(F.col(content))))
-    log = events.select(norm_key(F.col(session)).alias("session_id"), key.alias("message"), F.struct(*state).alias("v")).where("session_id is not null")
-    last = log.groupBy("session_id", "message").agg(F.max("v").alias("v")).where("not coalesce(v.gone, false)")
-    return last.select("session_id", "v.turn_num", "v.role", "v.says", "v.mark", *(["v.content"] if keep_content else []))
+    key = F.coalesce(F.col(message).cast("string"), F.concat_ws("\x01", F.lit("row"), norm_key(F.col(session)), F.col(turn), F.col(speaker), F.xxhash64(F.col(content))))
+    last = events.select(key.alias("message"), F.struct(*state).alias("v")).groupBy("message").agg(F.max("v").alias("v")).where("v.session_id is not null and not coalesce(v.gone, false)")
+    return last.select("v.session_id", "v.turn_num", "v.role", "v.says", "v.mark", *(["v.content"] if keep_content else []))
 
 
-def judge(turns: DataFrame) -> DataFrame:
-    """(session_id, n_turns, least, reason): the least turn number; reason is null for a session to keep."""
+def by_turn(turns: DataFrame) -> DataFrame:
+    """(session_id, turn_num, lo, hi, says[, content]): the least and the greatest version of each turn, and the least one's content."""
     what = F.struct(F.coalesce("role", F.lit("?")).alias("role"), "mark")
-    per_turn = turns.groupBy("session_id", "turn_num").agg(F.min(what).alias("lo"), F.max(what).alias("hi"), F.min("says").alias("says"))
+    content = [F.min(F.struct("role", "content")).alias("t")] if "content" in turns.columns else []
+    per = turns.groupBy("session_id", "turn_num").agg(F.min(what).alias("lo"), F.max(what).alias("hi"), F.min("says").alias("says"), *content)
+    return per.select("session_id", "turn_num", "lo", "hi", "says", *([F.col("t.role").alias("role"), F.col("t.content").alias("content")] if content else []))
+
+
+def judge(per_turn: DataFrame) -> DataFrame:
+    """(session_id, n_turns, least, reason) of ``by_turn`` rows: the least turn number; reason is null for a session to keep."""
     talk = F.when(F.col("lo.role") != "system", F.col("turn_num"))
     s = per_turn.groupBy("session_id").agg(
         F.count("*").alias("n_turns"),
@@ -100,9 +106,9 @@ def conversations(turns: DataFrame) -> DataFrame:
     """Turns of the kept sessions, one row each: (session_id, position, turn_num, role, content, n_turns).
 
     A conversation stays a run of rows, in order within a partition, and a long one goes on in the next; it is never gathered into one value,
-    as it may be of any length."""
-    kept = judge(turns).where("reason is null").select("session_id", "n_turns", "least")
-    one = turns.groupBy("session_id", "turn_num").agg(F.min(F.struct("role", "content")).alias("t"))
+    as it may be of any length. The log is folded once; what is read again is the written turns."""
+    per = write_shared(by_turn(turns), "turns")
+    kept = judge(per).where("reason is null").select("session_id", "n_turns", "least")
     # without a gap the position follows from the number and the least number
-    out = one.join(kept, "session_id").select("session_id", (F.col("turn_num") - F.col("least")).alias("position"), "turn_num", "t.role", "t.content", "n_turns")
+    out = per.join(kept, "session_id").select("session_id", (F.col("turn_num") - F.col("least")).alias("position"), "turn_num", "role", "content", "n_turns")
     return out.repartitionByRange("session_id", "turn_num").sortWithinPartitions("session_id", "turn_num")

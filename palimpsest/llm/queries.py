@@ -13,7 +13,7 @@ TURNS = {"session": "session_id", "message": "id", "version": "created_at", "tur
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversations.fold(table(spark, sf_dir, "conversation_turns"), **TURNS)
-    return conversations.judge(turns).where("reason is not null").select("session_id")
+    return conversations.judge(conversations.by_turn(turns)).where("reason is not null").select("session_id")
 
 
 def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +44,12 @@ def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(bpe.ids_of(bpe.vocabulary(), "doc_id", "text"), "doc_id bigint, ids array<int>")
+    return docs.mapInArrow(bpe.ids_of(bpe.shipped(spark, bpe.vocabulary()), "doc_id", "text"), "doc_id bigint, ids array<int>")
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(bpe.counts_of(bpe.vocabulary(), "doc_id", "text"), "doc_id bigint, n_tokens bigint")
+    return docs.mapInArrow(bpe.counts_of(bpe.shipped(spark, bpe.vocabulary()), "doc_id", "text"), "doc_id bigint, n_tokens bigint")
 
 
 def p7_windows(spark: SparkSession, sf_dir: str, capacity: int = 2048) -> DataFrame:

@@ -18,7 +18,7 @@ def log(spark, rows):
 
 
 def reasons(spark, rows, **kw):
-    return {r.session_id: r.reason for r in C.judge(C.fold(log(spark, rows), **COLS, **kw)).collect()}
+    return {r.session_id: r.reason for r in C.judge(C.by_turn(C.fold(log(spark, rows), **COLS, **kw))).collect()}
 
 
 def talk(s, *turns, start=1, ids=0):
@@ -48,6 +48,11 @@ def test_fold_of_edits_and_deletes(spark):
     assert got == [(0, "user", "better"), (1, "assistant", "answer")]
 
 
+def test_an_edit_moves_a_message_to_another_session(spark):
+    rows = [("a", 1, 1, "user", "q", None), ("a", 2, 2, "bot", "r", None), ("a", 3, 3, "user", "stray", None), ("b", 3, 1, "user", "moved", None), ("b", 4, 2, "bot", "r", None), ("b", 5, 3, "user", "lost", None), (None, 5, 3, "user", "lost", None)]
+    assert reasons(spark, rows) == {"a": None, "b": None}
+
+
 def test_turns_come_in_order(spark):
     rows = [r for n in range(1, 40) for r in talk(f"s{n:02}", *[("user", f"q{n}"), ("bot", f"a{n}")] * (200 if n == 7 else 3), ids=10 * n)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables would end in one partition
