@@ -27,16 +27,18 @@ PERSONAL = (
 )
 # Keys of JSON wrappers, by preference.
 JSON_FIELDS = ("content", "response_content", "message", "text", "body", "data")
+# File extensions, project folders, month names, words and patterns of quality tests.
 CODE_EXT = ("ts", "js", "py", "rs", "go", "java", "cpp", "c", "h")
 DOC_EXT = ("md", "txt", "rst")
 CONFIG_EXT = ("json", "yaml", "yml", "xml")
 PROJECT_DIRS = ("codebase", "projects", "repos", "src", "packages", "apps", "personal", "work", "client")
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-SPAM = ("erotik", "click here", "buy now", "free", "cheap", "subscribe now")
+SPAM = ("erotik", "click here", "buy now", "free", "cheap", "subscribe now", "http://", "https://")
 TECHNICAL = ("error", "exception", "traceback", "sudo", "apt-get", "npm", "pip", "docker", "cargo", "journal", "systemd", "kernel", "trace", "failed", "stacktrace")
 JSON_LIKE = r"\{\s*\".*\"\s*:\s*|\[\s*\{|\"response_content\"|\"timestamp\""
 HTML_LIKE = r"<\s*/?\w+[^>]*>|<a\s+href=|<script\b|<div\b|<p\b"
 EMOJI = r"[\x{1F300}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]"
+WINDOWS_PATH = r"[A-Za-z]:[\\/](?:[\w\-.@ ]+[\\/])+[\w\-.@ ]+"
 UNIX_PATH = r"/(?:[\w\-.@]+/)+[\w\-.@]+"
 HEX_DUMP = r"(?:0x[0-9a-fA-F]{2,}|[0-9A-Fa-f]{2,}(?:\s+[0-9A-Fa-f]{2,}){4,})"
 
@@ -64,7 +66,8 @@ def mask_personal(c: Column) -> Column:
 def json_content(c: Column) -> Column:
     """Texts of the flat JSON objects in a text, joined by blank lines; null if there are none."""
     objects = F.regexp_extract_all(c, F.lit(r"(\{[\s\S]*?\})"), F.lit(1))
-    first = lambda o: F.coalesce(*[F.nullif(F.get_json_object(o, f"$.{k}"), F.lit("")) for k in JSON_FIELDS])
+    # only strings count; the objects are flat, so a key stands before its own value
+    first = lambda o: F.coalesce(*[F.when(o.rlike(rf'"{k}"\s*:\s*"'), F.nullif(F.get_json_object(o, f"$.{k}"), F.lit(""))) for k in JSON_FIELDS])
     texts = F.array_compact(F.transform(objects, first))
     return F.when(F.size(texts) > 0, F.concat(F.array_join(texts, "\n\n"), F.lit("\n\n")))
 
@@ -201,7 +204,7 @@ def html_like(c: Column) -> Column:
 def technical_signal(c: Column) -> Column:
     low = F.lower(c)
     words = any_of(*[low.contains(k) for k in TECHNICAL])
-    return F.coalesce(words | c.rlike(r"v\d+\.\d+(?:\.\d+)?|/\w+/\w+|[A-Za-z]:\\\\|[$#] "), F.lit(False))
+    return F.coalesce(words | c.rlike(r"v\d+\.\d+(?:\.\d+)?|/\w+/\w+|[A-Za-z]:\\\\|[\p{L}\p{N}_][$#] "), F.lit(False))
 
 
 def non_ascii_ratio(c: Column) -> Column:
@@ -241,6 +244,7 @@ def token_soup(c: Column) -> Column:
 
 def strip_soup(c: Column) -> Column:
     """Readable rest of a garbled text, at most 500 characters."""
+    # What is taken out, in order.
     t = _chain(
         c,
         [(r"(?s)```.*?```", " "), (r"\b[A-Za-z_][A-Za-z0-9_]*\([^)]*\)", " "), (r"0x[0-9a-fA-F]{6,}", " "), (r"\b[A-Fa-f0-9]{16,}\b", " "), (r"[<>|\\]+", " "), (r"(?U)[^\w\s.,;:\-'\"()]+", " "), (r"(?U)\s+", " ")],
@@ -249,11 +253,20 @@ def strip_soup(c: Column) -> Column:
     return F.when(F.length(t) > 500, F.concat(F.substring(t, 1, 500), F.lit("..."))).otherwise(t)
 
 
+def shortened(c: Column, pattern: str, longest: int, keep: int) -> Column:
+    """Every match of more than ``longest`` characters cut to ``keep`` and dots."""
+    between, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
+    cut = F.transform(found, lambda m: F.when(F.length(m) > longest, F.concat(F.substring(m, 1, keep), F.lit("..."))).otherwise(m))
+    return F.when(F.exists(found, lambda m: F.length(m) > longest), F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(cut, i), F.lit("")))), "")).otherwise(c)
+
+
 def normalize_technical(c: Column) -> Column:
     """Terminal codes, hex dumps and markup taken out, and named in sorted notes in front."""
     ansi, windows, unix, dump, html = c.rlike(r"\x1b\[[0-9;]*[A-Za-z]"), c.rlike(r"[A-Za-z]:[\\/]"), c.rlike(r"/usr/|/bin/|/home/") | c.rlike(UNIX_PATH), c.rlike(HEX_DUMP), html_like(c)
     notes = F.array_compact(F.array(F.when(dump, "[Binary Data Omitted]"), F.when(html, "[Context: HTML]"), F.when(ansi, "[Context: Terminal Output]"), F.when(unix, "[OS: Linux]"), F.when(windows, "[OS: Windows]")))
     t = F.regexp_replace(c, r"\x1b\[[0-9;]*[A-Za-z]", " ")
+    t = F.when(windows, shortened(t, WINDOWS_PATH, 70, 60)).otherwise(t)
+    t = F.when(unix, shortened(t, UNIX_PATH, 80, 80)).otherwise(t)
     t = F.regexp_replace(t, HEX_DUMP, "[binary_data]")
     t = F.when(html, F.regexp_replace(t, r"<[^>]+>", " ")).otherwise(t)
     t = F.trim(_chain(t, [(r"[\x{00}\x07\x0b\x0c]", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#39;", "'"), (r"&amp;", "&"), (r"(?U)\s+", " ")]))

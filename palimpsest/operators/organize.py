@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.kernels import app_id
+from ..functions.query import STOP
 
 # Bucket names that say nothing.
 GENERIC = ("core", "misc", "general", "other", "unknown")
@@ -50,12 +52,46 @@ def infect(df: DataFrame, keywords: Sequence[str], tags: str = "tags", text: str
 
 def discover(df: DataFrame, known: DataFrame, text: str = "content") -> DataFrame:
     """Entity names of the texts that no known keyword equals, whatever the case: (name, n)."""
-    stop = ("The", "And", "For", "This")
+    stop = ("The", "And", "For", "This")  # fixed values
     found = df.select(F.explode(X.entities(F.col(text))).alias("name")).where((F.length("name") > 2) & ~F.col("name").isin(*stop))
     names = found.groupBy(F.lower("name").alias("key")).agg(F.min("name").alias("name"), F.count("*").alias("n"))
     return names.join(known.select(F.lower("keyword").alias("key")).distinct(), "key", "left_anti").select("name", "n")
 
 
+def grown_keywords(known: DataFrame, found: DataFrame) -> DataFrame:
+    """The keyword table with the discovered names in it: (keyword), each once whatever its case; a known spelling stays."""
+    new = found.select(F.col("name").alias("keyword")).join(known.select(F.lower("keyword").alias("key")).distinct(), F.lower(F.col("keyword")) == F.col("key"), "left_anti")
+    return known.select("keyword").distinct().unionByName(new.groupBy(F.lower("keyword").alias("k")).agg(F.min("keyword").alias("keyword")).select("keyword"))
+
+
+def seed_sample(df: DataFrame, seed: int, k: int, key: str = "id", holding: str | None = None, text: str = "content") -> DataFrame:
+    """``k`` rows in an order that only the seed and the key decide; with ``holding``, of those whose text holds that word."""
+    rows = df if holding is None else df.where(F.lower(text).contains(holding.lower()))
+    return rows.withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("draw", key).limit(k).drop("draw")
+
+
+def keyset_page(df: DataFrame, key: str, after, k: int) -> DataFrame:  # noqa: ANN001
+    """The next ``k`` rows in order of the key; ``after``: the last key of the page before (None: the first page)."""
+    return (df if after is None else df.where(F.col(key) > after)).orderBy(key).limit(k)
+
+
+def keyset_pages(df: DataFrame, key: str, k: int) -> Iterator[DataFrame]:
+    """Pages of ``k`` rows until the table ends; each is a top-k of its own, and only its last key reaches the driver."""
+    after = None
+    while True:
+        page = keyset_page(df, key, after, k)
+        last = page.agg(F.max(key)).first()[0]
+        if last is None:
+            return
+        yield page
+        after = last
+
+
+def point_lookup(df: DataFrame, key: str, values: Sequence) -> DataFrame:
+    """Rows of the given keys: a filter that the scan takes in."""
+    return df.where(F.col(key).isin(list(values)))
+
+
 def quarantine(df: DataFrame, which: Column) -> DataFrame:
     tags = F.array_union(_list("tags"), F.array(F.lit("#manually_quarantined")))
     return df.withColumns({"tags": F.when(which, tags).otherwise(_list("tags")), "provenance": F.when(which, "quarantine").otherwise(F.col("provenance"))})
@@ -99,6 +135,59 @@ def cluster_topics(clustered: DataFrame, by: Sequence[str], items: Column, k: in
     return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def cluster_entities(clustered: DataFrame, by: Sequence[str], text: str = "content", k: int = 10) -> DataFrame:
+    """The ``k`` most frequent entities of each cluster: longer than two characters and no bare numbers."""
+    names = F.filter(X.entities(F.col(text)), lambda x: (F.length(x) > 2) & ~x.rlike(r"^\d+$"))
+    return cluster_topics(clustered, by, names, k).withColumnRenamed("topic", "entity")
+
+
+def topics_or_words(clustered: DataFrame, by: Sequence[str], tags: str = "tags", text: str = "content", k: int = 8, k_words: int = 5) -> DataFrame:
+    """The most frequent tags of each cluster; where it has none, its most frequent topic words (longer than three characters, no numbers)."""
+    keys = [*by, "cluster"]
+    tagged = cluster_topics(clustered, by, F.col(tags), k)
+    bare = clustered.groupBy(*keys).agg(F.max(F.size(_list(tags))).alias("_n")).where("_n <= 0").select(*keys)
+    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^a-zA-Z0-9]+", " ")), " "), lambda w: (F.length(w) > 3) & ~w.rlike(r"^[0-9]+$") & ~w.isin(*sorted(STOP)))
+    return tagged.unionByName(cluster_topics(clustered.join(bare, keys, "left_semi"), by, words, k_words))
+
+
+def parent_edges(clustered: DataFrame, found: DataFrame, by: Sequence[str], key: str = "id") -> DataFrame:
+    """Edges from each episode to its rows: (parent_id, child_id, weight)."""
+    e = found.select(*by, "cluster", F.col("id").alias("parent_id"))
+    return clustered.select(*by, "cluster", F.col(key).alias("child_id")).join(e, [*by, "cluster"]).select("parent_id", "child_id", F.lit(1.0).alias("weight"))
+
+
+# --- back-fills --------------------------------------------------------------------------------------
+
+
+def backfill(df: DataFrame, column: str, value: Column) -> DataFrame:
+    """A column filled where it is null or blank; what is there stays."""
+    has = F.trim(F.col(column)) != ""
+    return df.withColumn(column, F.when(F.coalesce(has, F.lit(False)), F.col(column)).otherwise(value))
+
+
+def backfill_app_ids(df: DataFrame, column: str = "app_id", text: str = "content") -> DataFrame:
+    """The id that follows from the content, only where there is none."""
+    return backfill(df, column, app_id(F.substring(F.coalesce(F.col(text), F.lit("")), 1, 4096)))
+
+
+def backfill_cleaned(df: DataFrame, column: str = "cleaned", text: str = "content") -> DataFrame:
+    return backfill(df, column, X.clean_content(F.col(text)))
+
+
+def backfill_vectors(df: DataFrame, since: str, embed, dims: int, vec: str = "embedding", ts: str = "ts", text: str = "content") -> DataFrame:  # noqa: ANN001
+    """Vectors of the rows since a time that have none; ``embed``: a function of a list of texts that gives a matrix, applied per Arrow batch."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("array<float>")
+    def fill(texts):  # noqa: ANN001, ANN202
+        m = np.asarray(embed(texts.fillna("").tolist()), np.float32).reshape(len(texts), dims)
+        return pd.Series(list(m))
+
+    due = F.col(vec).isNull() & (F.col(ts) >= F.lit(since).cast("timestamp"))
+    return df.where(~F.coalesce(due, F.lit(False))).unionByName(df.where(due).withColumn(vec, fill(text)))
+
+
 # --- tables --------------------------------------------------------------------------------------------
 
 
@@ -166,9 +255,16 @@ def stale(df: DataFrame, now: str, days: int = 90, importance: str = "importance
 def evidence_score(facts: DataFrame, context: DataFrame) -> DataFrame:
     """(fact_id, n_evidence, score, verified): weights of the records that hold a long word of the fact, at most 1.
 
-    Words of facts are few; they are broadcast and matched as substrings in the scan of the records."""
+    Facts' words are joined to the distinct words of the records that hold them, a vocabulary far smaller than the records; each record
+    is then met by equality on its words only."""
     w = facts.select("fact_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("fact"), r"\s+"), lambda x: F.length(x) > 4))).alias("w"))
-    hit = context.join(F.broadcast(w), F.contains(F.lower("content"), F.col("w"))).select("fact_id", "id", "weight").distinct()
+    tokens = context.select("id", "weight", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("token")).where(F.length("token") > 4)
+    # a word has no white space and so lies within one token: those of its stretches that are as long as some fact's word are looked up
+    sizes = F.array(*[F.lit(r.n) for r in w.select(F.length("w").alias("n")).distinct().collect()]).cast("array<int>")  # at most as many as the longest word has characters
+    spans = tokens.select("token").distinct().select("token", F.explode(F.filter(sizes, lambda n: n <= F.length("token"))).alias("n"))
+    parts = spans.select("token", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - F.col("n") + 1), lambda i: F.substring("token", i, F.col("n")))).alias("w"))
+    near = parts.join(w, "w").select("token", "fact_id").distinct()
+    hit = tokens.join(near, "token").select("fact_id", "id", "weight").distinct()
     s = hit.groupBy("fact_id").agg(F.count("*").alias("n_evidence"), F.round(F.least(F.lit(1.0), F.sum("weight")), 6).alias("score"))
     return facts.select("fact_id").join(s, "fact_id", "left").select("fact_id", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.coalesce("score", F.lit(0.0)).alias("score"), (F.coalesce("score", F.lit(0.0)) > 0.7).alias("verified"))
 
@@ -198,6 +294,11 @@ def live_state(df: DataFrame, now: str, ttl_s: int = 3600, key: str = "session_i
     return last.where(F.unix_micros(F.col(stamp)) + ttl_s * 1_000_000 > F.unix_micros(F.lit(now).cast("timestamp")))
 
 
+def cleared(df: DataFrame, keys: Sequence, key: str = "session_id") -> DataFrame:
+    """State without the given keys'."""
+    return df.where(~F.col(key).isin(list(keys)) | F.col(key).isNull())
+
+
 def chat_rows(df: DataFrame) -> DataFrame:
     """Two rows of each exchange (chat_id, ts, user_text, ai_text): the user's, then the answer."""
     rows = F.array(F.struct(F.lit(0).alias("sequence"), F.lit("chat_user").alias("type"), F.col("user_text").alias("content")), F.struct(F.lit(1).alias("sequence"), F.lit("chat_ai").alias("type"), F.col("ai_text").alias("content")))

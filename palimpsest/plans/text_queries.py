@@ -78,10 +78,11 @@ def split_sentences(spark, d):
 
 
 def sentence_offsets(spark, d):
-    """Sentences whose place doesn't give back their content: none."""
+    """How many sentences each document has, and of how many the place gives back the content."""
     parts = K.split_text(c("content"), F.lit("prose"), F.lit(False))
     e = docs(spark, d).select("id", "content", F.explode(parts).alias("p"))
-    return e.where(F.substring("content", c("p.start") + 1, c("p.end") - c("p.start")) != c("p.content")).select("id")
+    right = F.substring("content", c("p.start") + 1, c("p.end") - c("p.start")) == c("p.content")
+    return e.groupBy("id").agg(F.count("*").alias("n"), F.count(F.when(right, 1)).alias("n_right"))
 
 
 def split_rows(spark, d):
@@ -122,14 +123,25 @@ def simhash_classes(spark, d):
     return dedup.classes(h).join(n, "simhash", "left").select("id", "first_key", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
+def _page(spark, d):
+    """Every document's text, escaped, as the body of a page."""
+    text = c("content")
+    for raw, named in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(raw), F.lit(named))
+    html = F.concat(F.lit("<html><head><title>Doc "), "id", F.lit("</title><meta name='description' content='About "), "id", F.lit("'><script>var a='</p>';</script></head><body><nav>menu</nav><main><h1>Head</h1><p>"), text, F.lit("</p></main></body></html>"))
+    return docs(spark, d).select("id", S.page(html).alias("p"))
+
+
 def html_to_text(spark, d):
-    html = F.concat(F.lit("<html><head><title>Doc "), "id", F.lit("</title><script>var a='</p>';</script></head><body><nav>menu</nav><main><h1>Head</h1><p>"), F.regexp_replace("content", "[<>&]", " "), F.lit("</p></main></body></html>"))
-    return docs(spark, d).withColumn("p", S.page(html)).select("id", "p.title", "p.text", "p.markdown")
+    return _page(spark, d).select("id", "p.text")
 
 
 def html_title(spark, d):
-    html = F.concat(F.lit("<html><head><title>Doc "), "id", F.lit("</title></head><body>x</body></html>"))
-    return docs(spark, d).select("id", F.regexp_extract(html, "<title>(.*?)</title>", 1).alias("title"))
+    return _page(spark, d).select("id", "p.title", "p.description")
+
+
+def html_markdown(spark, d):
+    return _page(spark, d).select("id", "p.markdown")
 
 
 def temporal_tags(spark, d):
@@ -149,11 +161,6 @@ def technical_normalised(spark, d):
 
 
 def fts_query_clean(spark, d):
-    return docs(spark, d).select("id", X.fts_query(F.substring("content", 1, 200)).alias("q"))
-
-
-def fts_query_clean_whole(spark, d):
-    """``fts_query_clean`` over whole contents; the SQL beside that one is of their first 200 characters."""
     return docs(spark, d).select("id", X.fts_query(c("content")).alias("q"))
 
 
@@ -215,18 +222,29 @@ def topology_molecules(spark, d):
     return graph.molecules(m, KEYWORDS).select("id", "compound_id", "sequence", "start", "end", "type", F.round("numeric_value", 4).alias("numeric_value"), "numeric_unit", joined("tags").alias("tags"), "simhash")
 
 
+def _topology(spark, d, name):
+    return graph.topology(docs(spark, d).withColumn("source", F.coalesce("source", F.lit(""))), KEYWORDS)[name]
+
+
 def topology_edges(spark, d):
-    m = docs(spark, d).withColumn("source", F.coalesce("source", F.lit("")))
-    return graph.topology(m, KEYWORDS)["atom_edges"]
+    return _topology(spark, d, "atom_edges")
 
 
-def flexible_timestamps(spark, d):
-    r = table(spark, d, "repair_canary_run2").select("repair_id", F.trim("s_created_at").alias("t")).where(c("t").rlike(r"^\d{10}$|^\d{13}$")).distinct()
-    return r.select("repair_id", F.unix_micros(X.flexible_timestamp(c("t"))).alias("us"))
+def topology_compounds(spark, d):
+    return _topology(spark, d, "compounds").select("id", F.md5("compound_body").alias("digest"), "path", joined(F.array_sort("tags")).alias("tags"))
+
+
+def topology_atoms(spark, d):
+    return _topology(spark, d, "atoms")
 
 
-def flexible_timestamps_whole(spark, d):
-    """``flexible_timestamps`` over all values of both fields; a value that is no time has no ``us``."""
+def topology_memory(spark, d):
+    """Rows of the memory table by type, and whether every fragment's source is a document's."""
+    return _topology(spark, d, "memory").groupBy("type").agg(F.count_distinct("source").alias("n_sources"), F.sum(F.when(c("type") == "compound", F.length("content"))).alias("chars"))
+
+
+def flexible_timestamps(spark, d):
+    """All values of both fields; a value that is no time has no ``us``."""
     r = table(spark, d, "repair_canary_run2")
     r = r.select("repair_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), strip(c(f)).alias("t")) for f in ("s_created_at", "orig_created_at")])).alias("x")).where("x.t is not null").distinct()
     return r.select("repair_id", "x.field", F.unix_micros(X.flexible_timestamp(c("x.t"))).alias("us"))
@@ -245,14 +263,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         content_ids, pii_mask, detect_type, numeric_extract, hashtag_extract, keyword_infect, year_tags, infected_tags, scan_tags, system_tags_from_path, bucket_from_path, display_tags, split_sentences, sentence_offsets, split_rows,
-        split_code, split_fences, simhash_fingerprint, simhash_neardup, simhash_classes, html_to_text, html_title, temporal_tags, clean_sanitize, clean_text, technical_normalised, fts_query_clean, fts_query_clean_whole, quality_audit, suspect_counts,
-        token_soup, soup_sanitised, entity_extract, content_dates, token_estimates, file_classes, conversation_files, compact_summaries, chunk_strategies, topology_molecules, topology_edges, flexible_timestamps, flexible_timestamps_whole, uuid_app_ids, char_similarity,
+        split_code, split_fences, simhash_fingerprint, simhash_neardup, simhash_classes, html_to_text, html_title, html_markdown, temporal_tags, clean_sanitize, clean_text, technical_normalised, fts_query_clean, quality_audit, suspect_counts,
+        token_soup, soup_sanitised, entity_extract, content_dates, token_estimates, file_classes, conversation_files, compact_summaries, chunk_strategies, topology_molecules, topology_edges, topology_compounds, topology_atoms, topology_memory, flexible_timestamps, uuid_app_ids, char_similarity,
     )
 } | {"chunk_prose": _chunks(K.chunk_prose), "chunk_code": _chunks(K.chunk_code), "chunk_paragraphs": _chunks(K.chunk_paragraphs), "chunk_overlapping": _chunks(K.chunk_overlapping)}
 
 _MONTHS = "['january','february','march','april','may','june','july','august','september','october','november','december']"
 _YEARS = r"list_distinct(regexp_extract_all(content, '\b((?:19|20)[0-9]{2})\b', 1))"
-_TECH = "(" + " or ".join(f"contains(lower(snippet), '{k}')" for k in X.TECHNICAL) + r" or regexp_matches(snippet, 'v\d+\.\d+(\.\d+)?|/\w+/\w+|[A-Za-z]:\\\\|[$#] '))"
+_TECH = "(" + " or ".join(f"contains(lower(snippet), '{k}')" for k in X.TECHNICAL) + r" or regexp_matches(snippet, 'v\d+\.\d+(\.\d+)?|/\w+/\w+|[A-Za-z]:\\\\|[\p{L}\p{N}_][$#] '))"
 _JSON = r"""regexp_matches(snippet, '\{\s*".*"\s*:\s*|\[\s*\{|"response_content"|"timestamp"')"""
 _HTML = r"""regexp_matches(snippet, '<\s*/?\w+[^>]*>|<a\s+href=|<script\b|<div\b|<p\b')"""
 _HIGH = r"(case when length(snippet) > 0 then round(length(regexp_replace(snippet, '[\x00-\x7F]', '', 'g')) / length(snippet), 4) else 0 end)"
@@ -278,6 +296,75 @@ x as (select id, content, regexp_extract_all(content, '([\d,]+\.?\d*)\s?([A-Za-z
 p as (select id, content, list_filter(list_transform(range(1, len(v) + 1), lambda i: {'v': try_cast(replace(v[i], ',', '') as double), 'u': nullif(u[i], '')}), lambda s: s.v is not null and not (s.u is null and s.v between 1900 and 2100 and s.v = floor(s.v))) as s from x),
 w as (select id, content, s, list_filter(s, lambda y: y.u is not null) as named from p)
 """
+_BLANK = r"[\s\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0b\x1c-\x1f]"
+
+
+def _steps(expr: str, steps) -> str:
+    """Replacements in order, in SQL."""
+    for old, new in steps:
+        expr = f"regexp_replace({expr}, '{old.replace(chr(39), chr(39) * 2)}', '{new.replace(chr(39), chr(39) * 2)}', 'g')"
+    return expr
+
+
+# java's \s is ASCII with the vertical tab, its (?U)\s and \w are of Unicode
+_S, _US, _UW = r"[ \t\n\x0b\f\r]", r"[\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}\x{24B6}-\x{24E9}"
+_EMOJIS = r"[\x{1F300}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]"
+_FIELD = "coalesce(" + ", ".join(f"nullif(json_extract_string(j, '$.{k}'), '')" for k in ("response_content", "content", "text", "message", "response")) + ", t)"
+_ENTITIES = [(r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#39;", "'")]
+_CLEAN = rf"""
+t0 as (select id, content as raw, regexp_replace(content, '^{_S}+|{_S}+$', '', 'g') as t from docs),
+t1 as (select *, case when json_valid(t) then t end as j from t0),
+clean as (select id, raw, coalesce(trim({_steps(f"case when regexp_matches(t, '^({{|[[])') or contains(t, '" + '"response_content"' + f"') then {_FIELD} else t end", [(r"<[^>]+>", " "), *_ENTITIES, (r"&nbsp;", " "), (r"&amp;", "&"), (_EMOJIS, ""), (rf"[^{_UW}{_US[1:-1]}.,;:\-'" + r'"@#%()?/\\]+', " "), (_US + "+", " ")])}), '') as cleaned from t1)
+"""
+_RUNS = r"\b[A-Z][a-z]+(?:[ \t\n\x0b\f\r]+[A-Z][a-z]+)*\b"
+#: Letters beyond ASCII become one that a word border counts as a letter.
+_FLAT = r"regexp_replace(content, '[\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\x{2FF}\x{300}-\x{36F}\x{370}-\x{1FFF}\x{2C00}-\x{2DFF}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}]', '_', 'g')"
+_NAMED = rf"""
+e00 as (select id, content, {_FLAT} as flat from docs),
+e0 as (select id, content, list_concat(case when {_TECH.replace('snippet', 'content')} then list_concat(regexp_extract_all(flat, 'v?\d+\.\d+(?:\.\d+)?'), regexp_extract_all(content, '(?:/[\w.-]+){{2,}}'), regexp_extract_all(flat, '\b[a-z][a-z0-9]+(?:-[a-z0-9]+)+\b')) else []::varchar[] end, regexp_extract_all(flat, '{_RUNS}')) as xs from e00),
+e1 as (select id, xs, list_transform(xs, lambda x: lower(x)) as ls from e0),
+e2 as (select id, list_filter(xs, lambda x, i: list_position(ls, lower(x)) = i)[1:10] as names from e1)
+"""
+_FNV = r"""
+w0 as (select id, content, list_filter(string_split_regex(content, '[ \n\t\r]'), lambda x: x <> '') as ws from docs),
+v0 as (select distinct unnest(ws) as w from w0),
+v1 as (select w, hex(encode(w)) as x from v0),
+v2 as (select w, list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(range(1, length(x), 2), lambda i: cast('0x' || x[i:i + 1] as int)::uhugeint)), lambda h, b: (xor(h, case when b >= 128 then 18446744073709551360::uhugeint + b else b end) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)::ubigint as h from v1),
+o0 as (select id, unnest(ws) as w from w0),
+o1 as (select id, h, count(*) as n from o0 join v2 using (w) group by 1, 2),
+o2 as (select id, sum(n) as total, """ + ", ".join(f"sum(case when (h >> {i}) & 1 = 1 then n else 0 end) as b{i}" for i in range(64)) + r""" from o1 group by 1),
+o3 as (select id, (""" + " + ".join(f"(case when 2 * b{i} > total then {1 << i}::uhugeint else 0::uhugeint end)" for i in range(64)) + r""")::ubigint as u from o2),
+prints as (select d.id, coalesce(u, 0::ubigint) as u, (case when u >= 9223372036854775808 then u::hugeint - 18446744073709551616::hugeint else coalesce(u, 0)::hugeint end)::bigint as simhash from docs d left join o3 using (id)),
+classes as (select simhash, u, count(*) as n, min(id) as first_key from prints group by 1, 2),
+near as (select a.simhash as a, b.simhash as b, bit_count(xor(a.u, b.u)) as distance from classes a join classes b on a.simhash < b.simhash and a.u <> 0 and b.u <> 0 where bit_count(xor(a.u, b.u)) <= 2)
+"""
+
+
+def _shorten(c: str, pattern: str, longest: int, keep: int) -> str:
+    found = f"regexp_extract_all({c}, '{pattern}')"
+    cut = f"list_transform({found}, lambda m: case when length(m) > {longest} then substr(m, 1, {keep}) || '...' else m end)"
+    return f"(case when len(list_filter({found}, lambda m: length(m) > {longest})) > 0 then array_to_string(list_transform(list_zip(string_split_regex({c}, '{pattern}'), {cut}), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), '') else {c} end)"
+
+
+_WIN, _UNIX = r"[A-Za-z]:[\\/](?:[\w\-.@ ]+[\\/])+[\w\-.@ ]+", r"/(?:[\w\-.@]+/)+[\w\-.@]+"
+_DUMP = r"(?:0x[0-9a-fA-F]{2,}|[0-9A-Fa-f]{2,}(?:\s+[0-9A-Fa-f]{2,}){4,})"
+_ANSI = r"\x1b\[[0-9;]*[A-Za-z]"
+_PLAIN = rf"""
+n0 as (select id, content as snippet, regexp_matches(content, '{_ANSI}') as ansi, regexp_matches(content, '[A-Za-z]:[\\/]') as win, regexp_matches(content, '/usr/|/bin/|/home/|{_UNIX}') as unix, regexp_matches(content, '{_DUMP}') as dump from docs),
+n1 as (select *, {_HTML} as html, list_filter([case when dump then '[Binary Data Omitted]' end, case when {_HTML} then '[Context: HTML]' end, case when ansi then '[Context: Terminal Output]' end, case when unix then '[OS: Linux]' end, case when win then '[OS: Windows]' end], lambda x: x is not null) as notes, regexp_replace(snippet, '{_ANSI}', ' ', 'g') as t from n0),
+n2 as (select id, html, unix, notes, case when win then {_shorten("t", _WIN, 70, 60)} else t end as t from n1),
+n3 as (select id, html, notes, regexp_replace(case when unix then {_shorten("t", _UNIX, 80, 80)} else t end, '{_DUMP}', '[binary_data]', 'g') as t from n2),
+n4 as (select id, notes, case when html then regexp_replace(t, '<[^>]+>', ' ', 'g') else t end as t from n3),
+n5 as (select id, notes, trim({_steps("t", [(r"[\x00\x07\x0b\x0c]", " "), *_ENTITIES, (r"&amp;", "&"), (_US + "+", " ")])}, ' ') as t from n4)
+"""
+_TAGS = rf"""
+p as (select id, content, provenance, coalesce(source, '') as source, coalesce(source, '') as path from docs),
+g as (select 'mem_' || md5(content || source) as from_id, content, source, list_distinct(list_filter(list_concat(list_transform({HITS}, lambda k: '#' || k), regexp_extract_all(content, '#(\w+)'),
+ [case when contains(lower(path), '/history/') or contains(lower(path), '/archive/') then '#Archive' end, case when len(h) > 0 then '#project:' || parts[h[1] + 1] end,
+ case when contains(path, '/src/') or starts_with(path, 'src/') then '#src' end, case when contains(path, '/docs/') or starts_with(path, 'docs/') then '#docs' end, case when contains(path, '/tests/') or starts_with(path, 'tests/') then '#test' end,
+ case when {_EXT} in ('ts','js','py','rs','go','java','cpp','c','h') then '#code' when {_EXT} in ('md','txt','rst') then '#doc' when {_EXT} in ('json','yaml','yml','xml') then '#config' end]), lambda x: x is not null)) as tags
+ from (select *, string_split(source, '/') as parts, list_filter(range(1, len(string_split(source, '/')) + 1), lambda i: list_contains(['codebase','projects','repos','src','packages','apps','personal','work','client'], lower(string_split(source, '/')[i])) and coalesce(string_split(source, '/')[i + 1], '') <> '') as h from p))
+"""
 SQL = {
     "content_ids": f"with {DOCS} select id, 'mem_' || md5(content || coalesce(source, '')) as compound_id, 'atom_' || substr(sha256(coalesce(source, '')), 1, 12) as atom_id, sha256(content) as content_hash, 'file_' || replace(to_base64(encode(coalesce(source, ''))), '=', '') as file_id from docs",
     "pii_mask": rf"with {DOCS}, m as (select id, content || ' mail a.b@c-d.org, 10.0.0.1 sk-' || repeat('a1', 20) as t from docs) select id, regexp_replace(regexp_replace(regexp_replace(t, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}\b', '[EMAIL_REDACTED]', 'g'), '\b(?:\d{{1,3}}\.){{3}}\d{{1,3}}\b', '[IP_REDACTED]', 'g'), 'sk-[a-zA-Z0-9]{{32,}}', 'sk-[REDACTED]', 'g') as masked from m",
@@ -295,11 +382,30 @@ SQL = {
     "bucket_from_path": rf"with {DOCS}, p as (select id, source, string_split(source, '/') as parts from docs where source is not null) select id, case when len(parts) < 2 then 'notebook' when parts[1] in ('inbox', 'external-inbox') and len(parts) > 2 then parts[2] else parts[1] end as path_bucket, case when contains(source, 'inbox') and not contains(source, 'external-inbox') then 'internal' else 'external' end as watch_provenance, case when regexp_matches(source, '(^|/)(internal-)?inbox/') then 'internal' else 'external' end as trust from p",
     "display_tags": f"with {DOCS} select id, len(list_filter(list_concat(string_split(content, ' '), ['2024', 'note']), lambda t: regexp_matches(t, '^[0-9a-z]{{4}}$') and not regexp_matches(t, '^[0-9]{{4}}$'))) as n from docs",
     "split_sentences": rf"with {DOCS}, m as (select id, string_split(regexp_replace(content, '([.!?])([\s\x85\xA0\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x1c-\x1f]+)([A-Z])', chr(1) || '\1' || chr(2) || '\3', 'g'), chr(2)) as x from docs), p as (select id, unnest(list_filter(list_transform(x, lambda s: replace(s, chr(1), '')), lambda s: regexp_matches(s, '{_SEEN}'))) as content, generate_subscripts(list_filter(x, lambda s: regexp_matches(replace(s, chr(1), ''), '{_SEEN}')), 1) - 1 as sequence from m) select id, sequence, content from p",
-    "sentence_offsets": f"with {DOCS} select id from docs where false",
     "split_rows": rf"with {DOCS}, l as (select id, string_split(content, chr(10)) as x from docs), p as (select id, unnest(x) as content, generate_subscripts(x, 1) as i, x from l), o as (select id, i, content, coalesce(list_sum(list_transform(x[1:i - 1], lambda s: length(s) + 1)), 0) as start from p) select id, row_number() over (partition by id order by i) - 1 as sequence, content, start from o where regexp_matches(content, '[^\s\x85\xA0\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x1c-\x1f]')",
-    "html_title": f"with {DOCS} select id, 'Doc ' || id as title from docs",
+    "html_title": f"with {DOCS} select id, 'Doc ' || id as title, 'About ' || id as description from docs",
+    "html_to_text": f"with {DOCS} select id, trim(regexp_replace('menu Head ' || content, '{_BLANK}+', ' ', 'g')) as text from docs",
+    "topology_memory": f"with {DOCS}, {_TAGS}, k as (select distinct from_id, content, source from g) select 'compound' as type, count(distinct source) as n_sources, sum(length(content)) as chars from k union all select 'fragment', count(distinct source), null from k where regexp_matches(content, '{_SEEN}')",
+    "technical_normalised": f"with {DOCS}, {_PLAIN} select id, case when len(notes) > 0 then array_to_string(notes, ' ') || ' ' || t else t end as text from n5",
+    "clean_text": f"with {DOCS}, {_CLEAN} select id, cleaned from clean",
+    "soup_sanitised": rf"""with {_SOUP}, k2 as (select eid, original_excerpt as o from r where length(t) >= 40 and n >= 3 and (code / n > 0.25 or hexes / n > 0.05 or single / n > 0.25 or (alpha / n < 0.25 and (no_vowel / n > 0.2 or lengthy / n > 0.05)) or regexp_matches(t, '[^\w\s]{{6,}}'))),
+ x as (select eid, trim({_steps("o", [("(?s)```.*?```", " "), (r"\b[A-Za-z_][A-Za-z0-9_]*\([^)]*\)", " "), (r"0x[0-9a-fA-F]{6,}", " "), (r"\b[A-Fa-f0-9]{16,}\b", " "), (r"[<>|\\]+", " "), (rf"[^{_UW}{_US[1:-1]}.,;:\-'" + r'"()]+', " "), (_US + "+", " ")])}) as t from k2) select eid, case when length(t) > 500 then substr(t, 1, 500) || '...' else t end as rest from x""",
+    "entity_extract": f"with {DOCS}, {_NAMED} select id, unnest(names) as entity, generate_subscripts(names, 1) - 1 as position from e2",
+    "content_dates": rf"""with {DOCS}, h as (select id, substr(content, 1, 2000) as t from docs),
+ x as (select id, regexp_extract(t, '\b(\d{{4}}-\d{{2}}-\d{{2}})\b', 1) as iso, regexp_extract(t, '\b(\d{{1,2}}/\d{{1,2}}/\d{{4}})\b', 1) as us, regexp_extract(t, '\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.? \d{{1,2}},? \d{{4}})\b', 1) as name from h),
+ y as (select id, case when iso <> '' then try_strptime(iso, '%Y-%m-%d') when us <> '' then try_strptime(us, '%m/%d/%Y') when name <> '' then try_strptime(substr(name, 1, 3) || ' ' || regexp_extract(name, '(\d{{1,2}}),? (\d{{4}})$', 1) || ' ' || regexp_extract(name, '(\d{{4}})$', 1), '%b %d %Y') end as day from x)
+ select id, strftime(day, '%Y-%m-%d') as day from y where day is not null""",
+    "compact_summaries": rf"""with {DOCS}, x as (select id, string_split(regexp_replace(trim(content, ' '), '([.!?]){_S}+', '\1' || chr(1), 'g'), chr(1)) as xs from docs) select id, array_to_string(xs[1:2], ' ') as summary from x""",
+    "char_similarity": """with w as (select distinct review_id, s_excerpt as a, orig_excerpt as b from weaver_review where s_excerpt is not null and orig_excerpt is not null), n as (select *, row_number() over () as k from w),
+ ca as (select k, ch, count(*) as m from (select k, unnest(string_split(a, '')) as ch from n where a <> '') group by 1, 2), cb as (select k, ch, count(*) as m from (select k, unnest(string_split(b, '')) as ch from n where b <> '') group by 1, 2),
+ s as (select k, sum(least(ca.m, cb.m)) as common from ca join cb using (k, ch) group by 1) select review_id, round(case when a = '' and b = '' then 1 else 2 * coalesce(common, 0) / (length(a) + length(b)) end, 6) as similarity from n left join s using (k)""",
+    "simhash_fingerprint": f"with {DOCS}, {_FNV} select id, simhash, lower(to_hex(u)) as hex from prints",
+    "simhash_neardup": f"with {DOCS}, {_FNV} select a, b, distance from near",
+    "simhash_classes": f"with {DOCS}, {_FNV}, m as (select s as simhash, count(*) as n_near from (select a as s from near union all select b from near) group by 1) select p.id, c.first_key, c.n, coalesce(n_near, 0) as n_near from prints p join classes c using (simhash) left join m using (simhash)",
+    "topology_compounds": f"with {DOCS}, {_TAGS} select distinct from_id as id, md5(content) as digest, source as path, array_to_string(list_sort(tags), '|') as tags from g",
+    "topology_atoms": f"with {DOCS}, {_TAGS}, l as (select distinct unnest(tags) as label from g) select 'atom_' || substr(sha256(label), 1, 12) as id, label, case when starts_with(label, '#project:') or label in ('#Archive', '#src', '#docs', '#test', '#code', '#doc', '#config') then 'system' else 'concept' end as type, case when label = '#Archive' then 0.5 else 1.0 end as weight from l",
     "temporal_tags": "select event_id, array_to_string([cast(year(ts) as varchar), monthname(ts), dayname(ts), case when month(ts) in (3,4,5) then 'Spring' when month(ts) in (6,7,8) then 'Summer' when month(ts) in (9,10,11) then 'Autumn' else 'Winter' end, 'Q' || quarter(ts), case when hour(ts) between 5 and 11 then 'Morning' when hour(ts) between 12 and 16 then 'Afternoon' when hour(ts) between 17 and 20 then 'Evening' else 'Night' end], '|') as tags from events",
-    "fts_query_clean": rf"with {DOCS} select id, lower(trim(regexp_replace(regexp_replace(substr(content, 1, 200), '[^a-zA-Z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) as q from docs",
+    "fts_query_clean": rf"with {DOCS} select id, lower(trim(regexp_replace(regexp_replace(content, '[^a-zA-Z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) as q from docs",
     "quality_audit": f"with {_AUDIT} select eid, {_JSON} as json_like, {_HTML} as html_like, {_HIGH} as non_ascii_ratio, array_to_string({_SPAM}, ',') as spam_keywords, {_TECH} as technical_signal from a",
     "suspect_counts": f"with {_AUDIT} select count(*) filter ({_JSON}) as json_like, count(*) filter ({_HTML}) as html_like, count(*) filter ({_HIGH} > 0.3) as non_ascii_high, count(*) filter (len({_SPAM}) > 0) as spam, count(*) filter ((({_JSON} or {_HTML}) and not {_TECH}) or {_HIGH} > 0.3 or {_EMOJI} > 0.05 or len({_SPAM}) > 0) as suspect from a",
     "token_soup": rf"with {_SOUP} select eid, length(t) >= 40 and n >= 3 and (code / n > 0.25 or hexes / n > 0.05 or single / n > 0.25 or (alpha / n < 0.25 and (no_vowel / n > 0.2 or lengthy / n > 0.05)) or regexp_matches(t, '[^\w\s]{{6,}}')) as soup from r",
@@ -314,5 +420,5 @@ SQL = {
  case when {_EXT} in ('ts','js','py','rs','go','java','cpp','c','h') then '#code' when {_EXT} in ('md','txt','rst') then '#doc' when {_EXT} in ('json','yaml','yml','xml') then '#config' end]) as tags
  from (select *, string_split(source, '/') as parts, list_filter(range(1, len(string_split(source, '/')) + 1), lambda i: list_contains(['codebase','projects','repos','src','packages','apps','personal','work','client'], lower(string_split(source, '/')[i])) and coalesce(string_split(source, '/')[i + 1], '') <> '') as h from p))
  select distinct from_id, 'atom_' || substr(sha256(tag), 1, 12) as to_id, 1.0 as weight, 'has_tag' as relation from (select from_id, unnest(tags) as tag from g) where tag is not null""",
-    "flexible_timestamps": r"with r as (select distinct repair_id, trim(s_created_at) as t from repair_canary_run2 where regexp_matches(trim(s_created_at), '^(\d{10}|\d{13})$')) select repair_id, cast(t as bigint) * (case when length(t) = 13 then 1000 else 1000000 end) as us from r",
 }
+SQL["sentence_offsets"] = f"select id, count(*) as n, count(*) as n_right from ({SQL['split_sentences']}) group by id"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.query import STOP
 from ..operators import mirror
 from ..operators import organize as O
 from ..operators import retrieval as R
@@ -13,6 +14,8 @@ from ..session import shared_dir, table
 from ..sources import files
 from ..streaming import ingest
 from .base import DOCS, KEYWORDS, MEMORY, docs, joined, memory
+from .text_queries import _CLEAN, _HTML, _JSON, _NAMED, _TECH
+from .text_queries import SQL as TEXT_SQL
 
 c = F.col
 NOW = "2026-02-01 00:00:00"
@@ -31,6 +34,53 @@ def discovery(spark, d):
     return O.discover(docs(spark, d), known)
 
 
+def master_keywords(spark, d):
+    """The keyword table after a discovery over all texts."""
+    known = spark.createDataFrame([(k,) for k in KEYWORDS], "keyword string")
+    return O.grown_keywords(known, O.discover(docs(spark, d), known))
+
+
+def seed_sample(spark, d):
+    """A sampling operator: 100 rows by seed among those that hold a word, and 25 among all."""
+    held = O.seed_sample(docs(spark, d), 7, 100, holding="pressure").select("id", F.lit("seed").alias("choice"))
+    return held.unionByName(O.seed_sample(docs(spark, d), 11, 25).select("id", F.lit("explorer").alias("choice")))
+
+
+def keyset_pages(spark, d):
+    """The whole table in pages by key: page number and bounds of each."""
+    t = table(spark, d, "entities").select("id")
+    bounds = [(i, *p.agg(F.min("id"), F.max("id"), F.count("*")).first()) for i, p in enumerate(O.keyset_pages(t, "id", 500))]
+    return spark.createDataFrame(bounds, "page int, first_id bigint, last_id bigint, n bigint")
+
+
+def point_lookup(spark, d):
+    return O.point_lookup(docs(spark, d), "id", [101, 260, 1006, 1488, 1821, 1866, -1]).select("id", F.md5("content").alias("digest"))
+
+
+def app_ids_filled(spark, d):
+    """How many rows kept their app id, and how many got the one of their content."""
+    t = table(spark, d, "tmp_audit").select("eid", c("app_id").alias("given"), F.when(c("technical_signal"), c("app_id")).alias("app_id"), c("snippet").alias("content"))
+    f = O.backfill_app_ids(t)
+    return f.groupBy(F.col("app_id").eqNullSafe(F.col("given")).alias("kept")).agg(F.count("*").alias("n"), F.count(F.when(c("app_id").rlike("^[0-9a-f-]{36}$") | c("app_id").eqNullSafe(c("given")), 1)).alias("n_valid"))
+
+
+def cleaned_filled(spark, d):
+    t = docs(spark, d).withColumn("cleaned", F.when(c("lang") == "en", "was here"))
+    return O.backfill_cleaned(t).select("id", "cleaned")
+
+
+def vectors_filled(spark, d):
+    """Rows with a vector before and after the back-fill of the recent ones; the model here counts letters."""
+    t = docs(spark, d).select("id", "content", "ts", F.when(c("lang") == "en", F.array(F.lit(1.0), F.lit(0.0))).cast("array<float>").alias("embedding"))
+    f = O.backfill_vectors(t, "2025-06-01 00:00:00", lambda xs: [[len(x), x.count("e")] for x in xs], 2)
+    return f.select("id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+
+
+def sessions_cleared(spark, d):
+    t = table(spark, d, "conversation_turns").select("session_id", "turn_num")
+    return O.cleared(t.where("session_id is not null").groupBy("session_id").agg(F.max("turn_num").alias("turn_num")), ["s1", "s2"])
+
+
 def quarantine_restore(spark, d):
     m = memory(spark, d)
     q = O.quarantine(m, c("bucket") == "code")
@@ -145,6 +195,24 @@ def episode_topics(spark, d):
     return O.cluster_topics(g, ["user_id"], F.array("event_type"), 2).select("user_id", "cluster", "topic", "n", "rank")
 
 
+def _clusters(spark, d):
+    return O.gap_clusters(memory(spark, d).where("bucket is not null and ts is not null"), ["bucket"], gap_us=3_600_000_000)
+
+
+def episode_entities(spark, d):
+    return O.cluster_entities(_clusters(spark, d), ["bucket"]).select("bucket", "cluster", "entity", "n", "rank")
+
+
+def episode_words(spark, d):
+    """Tags of the clusters, and topic words of those without any."""
+    return O.topics_or_words(_clusters(spark, d), ["bucket"]).select("bucket", "cluster", "topic", "n", "rank")
+
+
+def episode_parents(spark, d):
+    g = O.gap_clusters(table(spark, d, "events"), ["user_id"], gap_us=86_400_000_000, key="event_id")
+    return O.parent_edges(g, O.episodes(g, ["user_id"], key="event_id"), ["user_id"], "event_id").groupBy("parent_id").agg(F.count("*").alias("n"), F.min("child_id").alias("first_child"), F.sum("weight").alias("weight"))
+
+
 def recent_per_group(spark, d):
     return R.recent_per_group(table(spark, d, "events"), "event_type", "ts", 10, "event_id").select("event_type", "event_id", "rank")
 
@@ -235,6 +303,12 @@ def file_types(spark, d):
     return t.groupBy("ext").agg(F.count("*").alias("n"), F.sum("lines").alias("lines"))
 
 
+def largest_files(spark, d):
+    """The ten largest documents by lines, then length."""
+    t = docs(spark, d).withColumns({"lines": F.size(F.split("content", "\n")), "chars": F.length("content")})
+    return t.orderBy(F.desc("lines"), F.desc("chars"), "id").limit(10).select("id", "lines", "chars")
+
+
 def consolidate_max(spark, d):
     e = table(spark, d, "events")
     return S.best_per_key(e, F.lower("event_type"), "value", ["event_id"])
@@ -275,19 +349,19 @@ def backup_roundtrip(spark, d):
 
 
 def combined_texts(spark, d):
-    """Documents of each bucket joined into combined texts and split again."""
-    one = docs(spark, d).where(~c("content").contains("--- ")).select(F.concat(F.lit("--- START OF FILE: "), "id", F.lit(" ---\n"), "content", F.lit("\n--- END OF FILE: "), "id", F.lit(" ---")).alias("content"))
+    """Documents as combined texts, split again; a marker within a document ends it there, as the format has no escape."""
+    one = docs(spark, d).select(F.concat(F.lit("--- START OF FILE: "), "id", F.lit(" ---\n"), "content", F.lit("\n--- END OF FILE: "), "id", F.lit(" ---")).alias("content"))
     return files.split_combined(one).select(c("path").cast("bigint").alias("id"), F.md5("content").alias("digest"))
 
 
 def catalog_tables(spark, d):
-    """Columns of the tables, as the catalogue has them."""
-    out = None
-    for n in ("documents", "molecule", "entities"):
-        t = table(spark, d, n)
-        one = spark.createDataFrame([(n, x, i) for i, x in enumerate(t.columns)], "table_name string, column_name string, position int")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Columns of every table, as the session's catalogue lists them."""
+    names = ("atoms", "compound", "conversation_turns", "deleted_keys", "documents", "entities", "molecule", "repair_canary_run2", "tmp_audit", "token_soup_scan", "turn_entities", "weaver_review")
+    for n in names:
+        table(spark, d, n).createOrReplaceTempView(f"palimpsest_{n}")
+    listed = [t.name for t in spark.catalog.listTables() if t.isTemporary and t.name.startswith("palimpsest_") and t.name[11:] in names]
+    rows = [(t[11:], x.name, i) for t in listed for i, x in enumerate(spark.catalog.listColumns(t))]
+    return spark.createDataFrame(rows, "table_name string, column_name string, position int")
 
 
 def record_normaliser(spark, d):
@@ -322,9 +396,9 @@ def stream_sessions(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        dream_rebucket, discovery, quarantine_restore, quarantined_list, edited, upserted, inserted, column_updated, source_replaced, write_verified, contamination, freshness, evidence, prov_score, ingest_gate, soup_tags, rotated_contexts,
-        live_sessions, saved_chats, distill_worklist, gap_sessions, session_windows, episodes, episode_topics, recent_per_group, paged, mirror_paths, mirror_bundles, mirror_documents, global_tags, tag_counts, bucket_list, backup_stats,
-        import_status, turns_stats, largest_sessions, missing_links, score_histogram, score_thresholds, weaver_summary, score_extremes, run_compare_median, runs_side_by_side, file_types, consolidate_max, best_and_second, merged_tags,
+        dream_rebucket, discovery, master_keywords, seed_sample, keyset_pages, point_lookup, app_ids_filled, cleaned_filled, vectors_filled, sessions_cleared, quarantine_restore, quarantined_list, edited, upserted, inserted, column_updated, source_replaced, write_verified, contamination, freshness, evidence, prov_score, ingest_gate, soup_tags, rotated_contexts,
+        live_sessions, saved_chats, distill_worklist, gap_sessions, session_windows, episodes, episode_topics, episode_entities, episode_words, episode_parents, recent_per_group, paged, mirror_paths, mirror_bundles, mirror_documents, global_tags, tag_counts, bucket_list, backup_stats,
+        import_status, turns_stats, largest_sessions, missing_links, score_histogram, score_thresholds, weaver_summary, score_extremes, run_compare_median, runs_side_by_side, file_types, largest_files, consolidate_max, best_and_second, merged_tags,
         json_props, raw_sql_recursive, backup_roundtrip, combined_texts, catalog_tables, record_normaliser, redirects, stream_ingest, stream_sessions,
     )
 }
@@ -395,7 +469,38 @@ SQL = {
     "json_props": "select event_type, sum(cast(json_extract_string(props, '$.k') as int)) as k, max(cast(json_extract_string(props, '$.k') as int)) as most from events group by 1",
     "raw_sql_recursive": "with recursive chain(n, top) as (select n_nationkey, n_regionkey from nation where n_nationkey < 5 union all select n + 5, top from chain where n + 5 < 25) select top, count(*) as members, sum(n) as total from chain group by top",
     "backup_roundtrip": f"with {DOCS} select id, md5(content) as digest, bucket from docs",
-    "combined_texts": f"with {DOCS} select id, md5(content) as digest from docs where not contains(content, '--- ')",
+    "combined_texts": f"with {DOCS} select id, md5(regexp_replace(content, '(?s)\n?--- END OF FILE.*$', '')) as digest from docs",
     "redirects": f"with {DOCS} select id, 'https://a.example/' || source as target from docs where source is not null",
     "stream_ingest": f"with {DOCS} select bucket, count(*) as lines from docs where length(content) > 0 and bucket is not null group by 1",
 }
+_NAMES = "select lower(name) as key, min(name) as name, count(*) as n from (select unnest(names) as name from e2) where length(name) > 2 and name not in ('The', 'And', 'For', 'This') group by 1"
+_KNOWN = "[" + ", ".join(f"'{k.lower()}'" for k in KEYWORDS) + "]"
+_HOURS = """c0 as (select *, ts_us - lag(ts_us) over (partition by bucket order by ts, id) as gap from {} where bucket is not null and ts is not null),
+ clustered as (select *, sum(case when gap <= 3600000000 then 0 else 1 end) over (partition by bucket order by ts, id rows unbounded preceding) as cluster from c0)"""
+_STOPS = "[" + ", ".join(f"'{w}'" for w in sorted(STOP)) + "]"
+_MD = r"""coalesce(nullif(regexp_extract(content, '(?m)^#[ \t\n\x0b\f\r]+(.+)$', 1), ''), regexp_extract(trim(substr(content, 1, 50), ' '), '^([^\n]*)', 1))"""
+SQL |= {
+    "discovery": f"with {DOCS}, {_NAMED}, f as ({_NAMES}) select name, n from f where not list_contains({_KNOWN}, key)",
+    "master_keywords": f"with {DOCS}, {_NAMED}, f as ({_NAMES}) select name as keyword from f where not list_contains({_KNOWN}, key) union all select unnest({KEYWORDS})",
+    "seed_sample": f"with {DOCS} (select id, 'seed' as choice from docs where contains(lower(content), 'pressure') order by md5('7:' || id), id limit 100) union all (select id, 'explorer' from docs order by md5('11:' || id), id limit 25)",
+    "keyset_pages": "with r as (select id, (row_number() over (order by id) - 1) // 500 as page from entities) select page, min(id) as first_id, max(id) as last_id, count(*) as n from r group by 1",
+    "point_lookup": f"with {DOCS} select id, md5(content) as digest from docs where id in (101, 260, 1006, 1488, 1821, 1866, -1)",
+    "app_ids_filled": "select technical_signal is true and trim(app_id, ' ') <> '' and app_id is not null as kept, count(*) as n, count(*) as n_valid from tmp_audit group by 1",
+    "cleaned_filled": f"with {DOCS}, {_CLEAN} select id, case when d.lang = 'en' then 'was here' else cleaned end as cleaned from clean join docs d using (id)",
+    "vectors_filled": f"with {DOCS} select id, case when lang = 'en' then 1.0 when ts >= timestamptz '2025-06-01 00:00:00+00' then cast(length(content) as double) end as x, case when lang = 'en' then 0.0 when ts >= timestamptz '2025-06-01 00:00:00+00' then cast(length(content) - length(replace(content, 'e', '')) as double) end as y from docs",
+    "sessions_cleared": "select session_id, max(turn_num) as turn_num from conversation_turns where session_id not in ('s1', 's2') group by 1",
+    "episode_entities": f"with {DOCS}, {_NAMED}, {_HOURS.format('docs')}, n as (select bucket, cluster, entity, count(*) as n from (select bucket, cluster, unnest(names) as entity from clustered join e2 using (id)) where length(entity) > 2 and not regexp_matches(entity, '^[0-9]+$') group by 1, 2, 3), r as (select *, row_number() over (partition by bucket, cluster order by n desc, entity) as rank from n) select * from r where rank <= 10",
+    "episode_words": f"""with {MEMORY}, {_HOURS.format('memory')}, t as (select bucket, cluster, topic, count(*) as n from (select bucket, cluster, unnest(tags) as topic from clustered) group by 1, 2, 3),
+ bare as (select bucket, cluster from clustered group by 1, 2 having max(len(tags)) = 0),
+ w as (select bucket, cluster, topic, count(*) as n from (select bucket, cluster, unnest(string_split(lower(regexp_replace(content, '[^a-zA-Z0-9]+', ' ', 'g')), ' ')) as topic from clustered join bare using (bucket, cluster)) where length(topic) > 3 and not regexp_matches(topic, '^[0-9]+$') and not list_contains({_STOPS}, topic) group by 1, 2, 3),
+ r as (select *, row_number() over (partition by bucket, cluster order by n desc, topic) as rank, 8 as k from t union all select *, row_number() over (partition by bucket, cluster order by n desc, topic), 5 from w) select bucket, cluster, topic, n, rank from r where rank <= k""",
+    "episode_parents": f"select e.id as parent_id, e.n, e.first_id as first_child, cast(e.n as double) as weight from ({SQL['episodes']}) e",
+    "largest_files": f"with {DOCS} select id, len(string_split(content, chr(10))) as lines, length(content) as chars from docs order by lines desc, chars desc, id limit 10",
+    "ingest_gate": f"with {DOCS}, {_CLEAN}, k as (select id, cleaned, raw as snippet from clean), ok as (select id, cleaned from k where not (({_JSON} or {_HTML}) and not {_TECH}) and length(cleaned) >= 20) select min(id) as id from ok group by cleaned",
+    "soup_tags": f"select distinct eid from ({TEXT_SQL['token_soup']}) where soup",
+    "catalog_tables": "select table_name, column_name, ordinal_position - 1 as position from information_schema.columns where table_name in ('atoms', 'compound', 'conversation_turns', 'deleted_keys', 'documents', 'entities', 'molecule', 'repair_canary_run2', 'tmp_audit', 'token_soup_scan', 'turn_entities', 'weaver_review')",
+    "mirror_documents": f"""with {MEMORY}, b as (select *, {_DIR} as dir, coalesce(source, '') as src from memory), r as (select *, row_number() over (partition by dir, src order by ts nulls first, id) as rn, count(*) over (partition by dir, src) as n from b),
+ f as (select *, (rn - 1) // 100 + 1 as part, lower({_SAFE.format("case when src in ('', 'unknown') then 'daily_archive' else string_split(src, '/')[-1] end")}) || '_' || substr(md5(case when src = '' then 'orphan' else src end), 1, 8) || case when n > 100 then '_part' || ((rn - 1) // 100 + 1) else '' end || '.md' as file,
+ '## [' || id || '] ' || {_MD} || chr(10) || '> **Provenance**: ' || coalesce(provenance, 'unknown') || ' | **Date**: ' || coalesce(strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z', 'unknown') || chr(10) || case when len(tags) > 0 then '> **Tags**: ' || array_to_string(tags, ', ') || chr(10) else '' end || chr(10) || content || chr(10) || chr(10) || '---' || chr(10) || chr(10) as block from r),
+ g as (select dir, file, '# Source: ' || min(src) || chr(10) || case when max(n) > 100 then '> Part: ' || max(part) || chr(10) else '' end || chr(10) || '---' || chr(10) || chr(10) || string_agg(block, '' order by ts nulls first, id) as md from f group by 1, 2) select dir, file, length(md) as n_chars, md5(md) as digest from g""",
+}

@@ -70,14 +70,14 @@ FORMS = {
 def test_all_forms_of_both_fields_are_read(spark, tables):
     forms = list(FORMS)
     rows = [(str(i), v, forms[-1 - i]) for i, v in enumerate(forms)] + [("null", None, None)]
-    got = {(r.repair_id, r.field): r.us for r in QUERIES["flexible_timestamps_whole"](spark, tables("repair_canary_run2", rows, "repair_id string, s_created_at string, orig_created_at string")).collect()}
+    got = {(r.repair_id, r.field): r.us for r in QUERIES["flexible_timestamps"](spark, tables("repair_canary_run2", rows, "repair_id string, s_created_at string, orig_created_at string")).collect()}
     us = lambda t: None if t is None else (datetime.fromisoformat(t) - datetime(1970, 1, 1)) // timedelta(microseconds=1)
     assert got == {(i, f): us(FORMS[v]) for i, a, b in rows for f, v in (("s_created_at", a), ("orig_created_at", b)) if v is not None}
 
 
 def test_whole_contents_are_cleaned(spark, tables):
     texts = [(1, "Say: 'NEAR'(x)* " * 50 + "AND\n\tend!"), (2, "short?"), (3, "")]
-    got = {r.id: r.q for r in QUERIES["fts_query_clean_whole"](spark, tables("documents", documents(texts), DOC)).collect()}
+    got = {r.id: r.q for r in QUERIES["fts_query_clean"](spark, tables("documents", documents(texts), DOC)).collect()}
     assert got == {1: "say near x " * 50 + "and end", 2: "short", 3: ""}
 
 
