@@ -172,7 +172,6 @@ def chunker(fn):
 
 # Constants of the 64-bit FNV-1a hash.
 FNV_START, FNV_PRIME = 14695981039346656037, 1099511628211
-_BITS = np.arange(64, dtype=np.uint64)
 
 
 def fnv1a(words: list[bytes]) -> np.ndarray:
@@ -188,18 +187,51 @@ def fnv1a(words: list[bytes]) -> np.ndarray:
     return h
 
 
+_BLANK = re.compile(rb"[ \n\t\r]")
+#: Words whose bits are summed at once.
+_AT_ONCE = 1 << 18
+
+
+def simhashes(texts: list[str | None]) -> list[int | None]:
+    """Fingerprints of many texts: distinct words are hashed once, all at a time."""
+    known: dict[bytes, int] = {}
+    out: list[int | None] = [None] * len(texts)
+    sizes: list[int] = []
+    owner: list[int] = []
+    at: list[int] = []
+
+    def flush() -> None:
+        if not owner:
+            return
+        bits = np.unpackbits(fnv1a(list(known)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits[np.array(at)], np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)
+        prints = np.packbits(2 * ones > np.array(sizes)[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+        for i, v in zip(owner, prints.tolist()):
+            out[i] = v
+        for x in (known, sizes, owner, at):
+            x.clear()
+
+    for i, t in enumerate(texts):
+        if t is None:
+            continue
+        words = [w for w in _BLANK.split(t.encode("utf-8", "surrogatepass")) if w]
+        if not words:
+            out[i] = 0
+            continue
+        owner.append(i)
+        sizes.append(len(words))
+        at += [known.setdefault(w, len(known)) for w in words]
+        if len(at) >= _AT_ONCE:
+            flush()
+    flush()
+    return out
+
+
 def simhash_of(text: str | None) -> int | None:
-    if text is None:
-        return None
-    words = [w for w in re.split(rb"[ \n\t\r]", text.encode("utf-8", "surrogatepass")) if w]
-    if not words:
-        return 0
-    ones = ((fnv1a(words)[:, None] >> _BITS) & np.uint64(1)).sum(0).astype(np.int64)
-    value = int(((2 * ones > len(words)).astype(np.uint64) << _BITS).sum())
-    return value - (1 << 64) if value >> 63 else value
+    return simhashes([text])[0]
 
 
-simhash = F.pandas_udf(lambda s: s.map(simhash_of).astype("Int64"), T.LongType())
+simhash = F.pandas_udf(lambda s: pd.Series(simhashes(s.tolist()), dtype="Int64"), T.LongType())
 
 
 #: Falling powers of 31, modulo 2**32, down to 1.

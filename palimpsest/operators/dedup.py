@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from ..session import write_shared
 
-BANDS = 3
-
 
 def distance(a, b):  # noqa: ANN001, ANN201
     """Hamming distance of two fingerprints."""
@@ -25,22 +23,32 @@ def content_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     return h.join(first, "hash").where(F.col(key) != F.col("first_key")).select(key, "first_key")
 
 
+#: Pairs of the four blocks of 16 bits: two values at most two bits apart agree in both blocks of one of them.
+BLOCK_PAIRS = tuple((i, j) for i in range(4) for j in range(i + 1, 4))
+
+
+def _block(c, i: int):  # noqa: ANN001, ANN202
+    return F.shiftrightunsigned(c, 16 * i).bitwiseAND(F.lit(0xFFFF))
+
+
 def band_keys(c: str = "simhash"):  # noqa: ANN201
-    """Three bit ranges: two values at most two bits apart agree in one of them."""
-    bits = lambda lo, n: F.shiftrightunsigned(F.col(c), lo).bitwiseAND(F.lit((1 << n) - 1))
-    return F.array(*[F.struct(F.lit(i).alias("band"), bits(lo, n).alias("bits")) for i, (lo, n) in enumerate(((0, 22), (22, 21), (43, 21)))])
+    """Keys of 32 bits, one per pair of blocks."""
+    return F.array(*[F.struct(F.lit(n).alias("band"), (F.shiftleft(_block(F.col(c), j), 16) + _block(F.col(c), i)).alias("bits")) for n, (i, j) in enumerate(BLOCK_PAIRS)])
 
 
 def near_pairs(df: DataFrame, key: str = "id", c: str = "simhash", most: int = 2) -> DataFrame:
     """(a, b, distance), a < b in value: pairs of *different fingerprints* at most ``most`` (2) bits apart, exact.
 
     Rows of one fingerprint form a class; pairs are between classes, so that many copies make one entry. Fingerprint 0 (no
-    words) takes no part. The bands are joined on (band, bits) with both sides partitioned alike."""
+    words) takes no part. The values are joined on (band, bits), both sides partitioned alike; keys have 32 bits, so that a cell holds
+    few values that aren't near, and a pair counts only in the first band it agrees in."""
     values = df.where(F.col(c) != 0).select(F.col(c).alias("simhash")).distinct()
     banded = values.select("simhash", F.explode(band_keys("simhash")).alias("k")).select("simhash", "k.band", "k.bits")
     left, right = banded.withColumnRenamed("simhash", "a"), banded.withColumnRenamed("simhash", "b")
-    pairs = left.join(right, ["band", "bits"]).where("a < b")
-    return pairs.withColumn("distance", distance("a", "b")).where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.coalesce(*[F.when((_block(x, i) == 0) & (_block(x, j) == 0), F.lit(n)) for n, (i, j) in enumerate(BLOCK_PAIRS)])
+    pairs = left.join(right, ["band", "bits"]).where((F.col("a") < F.col("b")) & (distance("a", "b") <= most) & (F.col("band") == first))
+    return pairs.select("a", "b", distance("a", "b").alias("distance"))
 
 
 def classes(df: DataFrame, key: str = "id", c: str = "simhash") -> DataFrame:
@@ -91,8 +99,13 @@ def suppress_all(df: DataFrame, key: str = "id", c: str = "simhash") -> DataFram
 
 
 def merged_lists(df: DataFrame, by: str, *lists: str) -> DataFrame:
-    """Distinct elements of the list columns of each group, in order."""
-    return df.groupBy(by).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_set(x)))).alias(x) for x in lists])
+    """Distinct elements of the list columns of each group, in order. Elements are made distinct before they are gathered: what is
+    gathered is a group's vocabulary, not its rows."""
+    out = df.select(by).distinct()
+    for x in lists:
+        one = df.select(by, F.explode(x).alias("_x")).distinct().groupBy(by).agg(F.array_sort(F.collect_list("_x")).alias(x))
+        out = out.join(one, out[by].eqNullSafe(one[by]), "left").drop(one[by])
+    return out.select(by, *[F.coalesce(x, F.array().cast("array<string>")).alias(x) for x in lists])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

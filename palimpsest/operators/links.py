@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,16 @@ def jaccard_links(summaries: DataFrame, originals: DataFrame, threshold: float =
         order = Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "w")
         return ws.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).select(key, "n", "w")
 
-    sizes = (F.col("s_n") >= F.ceil(threshold * F.col("o_n"))) & (F.col("o_n") >= F.ceil(threshold * F.col("s_n")))
-    cand = prefix(s, "s_id", "s_set").withColumnRenamed("n", "s_n").join(prefix(o, "o_id", "o_set").withColumnRenamed("n", "o_n"), "w").where(sizes).select("s_id", "o_id").distinct()
+    # the length band enters the key: lengths are cut into cells of a constant ratio, and a summary looks into those its band meets
     chars = 4 * F.col("n_tokens")
+    low, high = F.greatest(F.lit(200), F.floor(0.5 * chars)), F.floor(1.6 * chars)
+    cell = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(1.5))
+    s_words = prefix(s, "s_id", "s_set").withColumnRenamed("n", "s_n").join(s.where(high >= low).select("s_id", F.explode(F.sequence(cell(low), cell(high))).alias("cell")), "s_id")
+    o_words = prefix(o, "o_id", "o_set").withColumnRenamed("n", "o_n").join(o.select("o_id", cell(F.col("o_len")).alias("cell")), "o_id")
+    sizes = (F.col("s_n") >= F.ceil(threshold * F.col("o_n"))) & (F.col("o_n") >= F.ceil(threshold * F.col("s_n")))
+    cand = s_words.join(o_words, ["w", "cell"]).where(sizes).select("s_id", "o_id").distinct()
     scored = (
-        cand.join(s, "s_id").join(o, "o_id")
-        .where((F.col("o_len") >= F.greatest(F.lit(200), F.floor(0.5 * chars))) & (F.col("o_len") <= F.floor(1.6 * chars)))
+        cand.join(s, "s_id").join(o, "o_id").where((F.col("o_len") >= low) & (F.col("o_len") <= high))
         .withColumn("score", F.round(jaccard(F.col("s_set"), F.col("o_set")), 6))
         .where(F.col("score") >= threshold)
     )

@@ -1,8 +1,9 @@
 """Retrieval: inverted-index probe, anchors, tag walk, scoring, and the search strategies, batched over queries.
 
-A batch of queries is a small frame of (query_id, term); its size is that of the request, never of the corpus, so it may
-be broadcast. Terms are filtered in the scan, before anything is shuffled; only matches move.
-Ties are broken by id, so that every result is one and the same on any cluster.
+A batch of queries is a small frame of (query_id, part, attempt, term); its size is that of the request, never of the corpus.
+One scan splits the texts, keeps the wanted words by a hash lookup and counts them within their row; only matches move, and
+contents are fetched for the best rows alone. Nothing runs while a plan is built. Ties are broken by id, so that every
+result is one and the same on any cluster.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions import query as Q
 
-#: Terms that one batch of queries may hold: the bound of what is broadcast.
+#: Terms of a batch up to which they are broadcast; those of a larger one are joined.
 MOST_TERMS = 10_000
+#: Rows that are broadcast, at most: results of a batch (queries times rows of each), or a request's keys.
+MOST_ROWS = 100_000
 
 
 @dataclass
@@ -28,6 +31,7 @@ class Request:
     tags: Sequence[str] = ()
     mode: str = "default"  # default, internal, external, all, quarantine
     attempts: list[list[str]] = field(default_factory=list)
+    part: int = 0  # of a query that was split
 
 
 def words(c: Column) -> Column:
@@ -35,32 +39,47 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(c, r"[^a-zA-Z0-9]+", " ")), " "), lambda w: w != "")
 
 
-def term_frame(spark: SparkSession, terms: dict[tuple[int, int], list[str]]) -> DataFrame:
-    """(query_id, attempt, term, n_terms) of term lists by query and attempt."""
-    rows = [(q, a, t, len(set(ts))) for (q, a), ts in terms.items() for t in dict.fromkeys(ts)]
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"a batch holds at most {MOST_TERMS} terms; split it")
-    return spark.createDataFrame(rows, "query_id int, attempt int, term string, n_terms int")
+TERMS = "query_id int, part int, attempt int, term string, n_terms int"
 
 
-def postings(df: DataFrame, terms: Sequence[str] | None = None, key: str = "id", text: str = "content") -> DataFrame:
-    """(term, id, tf): the inverted index, or the part of it for some terms (filtered before the shuffle)."""
+@dataclass
+class Terms:
+    """Term lists by query, part and attempt."""
+
+    frame: DataFrame
+    vocabulary: list[str]
+    n: int
+
+    def small(self, df: DataFrame) -> DataFrame:
+        """A frame with a row per term, broadcast if the batch is within the bound."""
+        return F.broadcast(df) if self.n <= MOST_TERMS else df
+
+
+def term_frame(spark: SparkSession, terms: dict[tuple[int, ...], list[str]]) -> Terms:
+    """``terms``: by (query, attempt) or (query, part, attempt)."""
+    rows = [(k[0], k[1] if len(k) > 2 else 0, k[-1], t, len(set(ts))) for k, ts in terms.items() for t in dict.fromkeys(ts)]
+    return Terms(spark.createDataFrame(rows, TERMS), sorted({r[3] for r in rows}), len(rows))
+
+
+def postings(df: DataFrame, terms: Sequence[str] | None = None, key: str = "id", text: str = "content", carry: Sequence[str] = ()) -> DataFrame:
+    """(term, id, tf): the inverted index, or the part of it for some terms. Words are counted within their row: nothing is shuffled."""
     w = words(F.col(text))
     if terms is not None:
-        wanted = F.array(*[F.lit(t) for t in terms])
-        w = F.filter(w, lambda x: F.array_contains(wanted, x))
-    return df.select(key, F.explode(w).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+        w = F.filter(w, lambda x: x.isin(list(terms)))
+    counted = df.select(key, *carry, w.alias("_w")).where(F.size("_w") > 0)
+    return counted.select(key, *carry, "_w", F.explode(F.array_distinct("_w")).alias("term")).select("term", key, F.size(F.filter("_w", lambda x: x == F.col("term"))).cast("bigint").alias("tf"), *carry)
 
 
-def fts(df: DataFrame, terms: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
-    """(query_id, attempt, id, fts): documents that hold all terms of an attempt; score = sum of tf * ln(1 + N / df)."""
-    vocabulary = sorted({r.term for r in terms.select("term").distinct().collect()})  # the request's own terms
-    p = postings(df, vocabulary, key, text)
-    n_docs = df.count()
-    weight = p.groupBy("term").agg(F.log(1 + F.lit(n_docs) / F.count("*")).alias("idf"))
-    hits = p.join(F.broadcast(terms), "term").join(F.broadcast(weight), "term")
-    by = hits.groupBy("query_id", "attempt", "n_terms", key).agg(F.count("*").alias("m"), F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("fts"))
-    return by.where("m = n_terms").select("query_id", "attempt", key, "fts")
+def fts(df: DataFrame, terms: Terms, key: str = "id", text: str = "content", carry: Sequence[str] = ()) -> DataFrame:
+    """(query_id, part, attempt, id, fts, carried columns): documents that hold all terms of an attempt; score = sum of tf * ln(1 + N / df)."""
+    within = terms.vocabulary if terms.n <= MOST_TERMS else None
+    p = postings(df, within, key, text, carry)
+    if within is None:
+        p = p.join(terms.frame.select("term").distinct(), "term", "left_semi")
+    weight = p.groupBy("term").agg(F.log(1 + df.agg(F.count("*")).scalar() / F.count("*")).alias("idf"))
+    hits = p.join(terms.small(terms.frame), "term").join(terms.small(weight), "term")
+    by = hits.groupBy("query_id", "part", "attempt", "n_terms", key, *carry).agg(F.count("*").alias("m"), F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("fts"))
+    return by.where("m = n_terms").select("query_id", "part", "attempt", key, "fts", *carry)
 
 
 def overlaps(c: str, wanted: Sequence[str]) -> Column:
@@ -82,22 +101,42 @@ def top(df: DataFrame, k: int, score: str = "score", by: Sequence[str] = ("query
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def anchors(memory: DataFrame, terms: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
-    """The best ``k`` rows per query, filtered before the cut; score 70 * fts."""
-    rows = memory.where(keep) if keep is not None else memory
-    hit = fts(memory.select("id", "content"), terms)
-    return top(hit.join(rows, "id").withColumn("score", F.round(70 * F.col("fts"), 6)), k)
+def fetched(found: DataFrame, memory: DataFrame, n_rows: int) -> DataFrame:
+    """The rows of ``memory`` that were found (``n_rows`` at most)."""
+    return memory.join(F.broadcast(found) if n_rows <= MOST_ROWS else found, "id")
+
+
+def filtered(hit: DataFrame, molecules: DataFrame | None, kind: str | None = None, least: float | None = None, most: float | None = None) -> DataFrame:
+    """Hits that are fragments of a type and with a number between bounds (each where given); adds the fragments' columns."""
+    if molecules is None:
+        return hit
+    keep = F.lit(True)
+    if kind is not None:
+        keep &= F.col("type") == kind
+    if least is not None:
+        keep &= F.col("numeric_value") >= least
+    if most is not None:
+        keep &= F.col("numeric_value") <= most
+    return hit.join(molecules.where(keep), "id")
+
+
+def anchors(memory: DataFrame, terms: Terms, k: int, keep: Column | None = None, molecules: DataFrame | None = None, kind: str | None = None, least: float | None = None, most: float | None = None) -> DataFrame:
+    """The best ``k`` rows per query, filtered before the cut; score 70 * fts. ``molecules``: (id, type, numeric_value, numeric_unit) of fragments to filter by."""
+    rows = memory.withColumn("_keep", F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True))
+    hit = filtered(fts(rows, terms, carry=["_keep"]).where("_keep").drop("_keep"), molecules, kind, least, most)
+    best = top(hit.withColumn("score", F.round(70 * F.col("fts"), 6)), k)
+    return fetched(best, memory.drop(*([c for c in molecules.columns if c != "id"] if molecules is not None else [])), k * terms.n)
 
 
-def tag_walk(memory: DataFrame, found: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
+def tag_walk(memory: DataFrame, found: DataFrame, k: int, keep: Column | None = None, n_found: int = MOST_ROWS) -> DataFrame:
     """Rows that share a tag with a query's anchors and are no anchors themselves, at most ``k`` per query; score 30.
 
     The anchors' tags are few (k anchors of the request); the corpus is filtered by them in the scan, then deduplicated."""
     tags = found.select("query_id", F.explode("tags").alias("tag")).distinct()
     rows = (memory.where(keep) if keep is not None else memory).select("id", F.explode("tags").alias("tag"))
-    near = rows.join(F.broadcast(tags), "tag").select("query_id", "id").distinct()
+    near = rows.join(F.broadcast(tags) if n_found <= MOST_ROWS else tags, "tag").select("query_id", "id").distinct()
     near = near.join(found.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(30.0))
-    return top(near, k).drop("rank").join(memory, "id")
+    return fetched(top(near, k).drop("rank"), memory, n_found)
 
 
 def boosted(df: DataFrame, mode: str = "default") -> DataFrame:
@@ -124,31 +163,89 @@ def first_wins(*branches: DataFrame, by: Sequence[str] = ("query_id", "id")) ->
 SHOWN = ("query_id", "id", "content", "source", "ts", "buckets", "tags", "provenance", "type", "score")
 
 
-def search(memory: DataFrame, requests: Sequence[Request], char_budget: int = 20_000, mode: str = "default", buckets: Sequence[str] = (), tags: Sequence[str] = (), today: date = date(2026, 2, 1)) -> DataFrame:
-    """Anchors of the first attempt that finds anything, with their tag walk, scored; one plan for all queries and attempts."""
+def search(memory: DataFrame, requests: Sequence[Request], char_budget: int = 20_000, mode: str = "default", buckets: Sequence[str] = (), tags: Sequence[str] = (), today: date = date(2026, 2, 1), molecules: DataFrame | None = None, **filters) -> DataFrame:  # noqa: ANN003
+    """Anchors of the first attempt that finds anything, with their tag walk, scored; one plan for all queries and attempts.
+
+    A request's own buckets and tags hold for its rows only; ``filters`` are those of ``filtered``."""
     _, n_anchor, n_walk = Q.sizes(char_budget)
-    terms = {(r.query_id, a): t for r in requests for a, t in enumerate(r.attempts or Q.strategies(r.text, today), 1)}
-    keep = trusted(mode) & overlaps("buckets", buckets) & overlaps("tags", tags)
+    terms = {(r.query_id, r.part, a): t for r in requests for a, t in enumerate(r.attempts or Q.strategies(r.text, today), 1)}
+    base = trusted(mode) & overlaps("buckets", buckets) & overlaps("tags", tags)
+    own = [F.when(overlaps("buckets", r.buckets) & overlaps("tags", r.tags), F.lit(f"{r.query_id}:{r.part}")) for r in requests]
+    scoped = any(r.buckets or r.tags for r in requests)
+    rows = memory.withColumns({"_keep": F.coalesce(base, F.lit(False)), "_may": F.array_compact(F.array(*own)) if scoped else F.lit(None).cast("array<string>")})
     frame = term_frame(memory.sparkSession, terms)
-    hit = fts(memory.select("id", "content"), frame).join(memory.where(keep), "id")
-    best = hit.withColumn("first", F.min("attempt").over(Window.partitionBy("query_id"))).where("attempt = first")
-    found = top(best.withColumn("score", F.round(70 * F.col("fts"), 6)), n_anchor)
-    walked = tag_walk(memory, found, n_walk, keep)
-    both = first_wins(found.select(*SHOWN, "attempt"), walked.select(*SHOWN, F.lit(None).cast("int").alias("attempt")))
+    asked = F.concat_ws(":", "query_id", "part")
+    hit = fts(rows, frame, carry=["_keep", "_may"]).where("_keep")
+    hit = hit.where(F.array_contains("_may", asked)) if scoped else hit
+    hit = filtered(hit.drop("_keep", "_may"), molecules, **filters)
+    # the first attempt is settled and the rest cut before any content is fetched
+    first = hit.groupBy("query_id", "part").agg(F.min("attempt").alias("attempt"))
+    best = hit.join(frame.small(first), ["query_id", "part", "attempt"])
+    n = n_anchor * len(requests)
+    found = top(best.withColumn("score", F.round(70 * F.col("fts"), 6)), n_anchor, by=("query_id", "part"))
+    found = fetched(found.drop(*([c for c in molecules.columns if c != "id"] if molecules is not None else [])), memory, n)
+    allowed = rows.where("_keep")
+    walked = _walk(allowed, found, n_walk, asked if scoped else None, n)
+    shown = ("query_id", "part", *SHOWN[1:])
+    both = first_wins(found.select(*shown, "attempt"), walked.select(*shown, F.lit(None).cast("int").alias("attempt")), by=("query_id", "part", "id"))
     return boosted(both, mode)
 
 
+def _walk(rows: DataFrame, found: DataFrame, k: int, asked: Column | None, n_found: int) -> DataFrame:
+    """``tag_walk`` by query and part, within what each request may see."""
+    tags = found.select("query_id", "part", F.explode("tags").alias("tag")).distinct()
+    spread = rows.select("id", "_may", F.explode("tags").alias("tag"))
+    near = spread.join(F.broadcast(tags) if n_found <= MOST_ROWS else tags, "tag")
+    near = (near.where(F.array_contains("_may", asked)) if asked is not None else near).select("query_id", "part", "id").distinct()
+    near = near.join(found.select("query_id", "part", "id"), ["query_id", "part", "id"], "left_anti").withColumn("score", F.lit(30.0))
+    return fetched(top(near, k, by=("query_id", "part")).drop("rank"), rows.drop("_keep", "_may"), n_found)
+
+
+#: Buckets that a hashtag of a query may name.
+KNOWN_BUCKETS = ("notebook", "inbox", "codebase", "journal", "archive", "memories", "external")
+
+
+def routed(r: Request, keywords: Sequence[str], today: date) -> Request:
+    """A request whose hashtags became buckets and tags and whose terms were expanded by the keywords it holds. Without a bucket, its tags name buckets too."""
+    text, named, tags = Q.scope(r.text.strip(), set(KNOWN_BUCKETS) | {w[1:].lower() for w in r.text.split() if w.startswith("#") and "inbox" in w.lower()})
+    buckets, tags = [*r.buckets, *named], [*r.tags, *tags]
+    more = [w for k in Q.expand(text, list(keywords)) for w in Q.fts(k).split()]
+    ladder = [list(dict.fromkeys([*t, *more])) if not i else t for i, t in enumerate(r.attempts or Q.strategies(text, today))]
+    return Request(r.query_id, text, buckets or list(tags), tags, r.mode, ladder, r.part)
+
+
+def execute(
+    memory: DataFrame, requests: Sequence[Request], char_budget: int = 20_000, mode: str = "default", keywords: Sequence[str] = (), engrams: DataFrame | None = None, molecules: DataFrame | None = None, today: date = date(2026, 2, 1), **filters,  # noqa: ANN003
+) -> DataFrame:
+    """The whole search before suppression and packing: hashtags routed, terms expanded, exact keys first, then anchors and their walk.
+
+    Adds ``turn``, the order in which near copies give way: rows of exact keys go before all others."""
+    sent = [routed(r, keywords, today) for r in requests]
+    found = search(memory, sent, char_budget, mode, today=today, molecules=molecules, **filters).withColumn("turn", F.col("score"))
+    if engrams is None:
+        return found
+    exact = [
+        engram_lookup(engrams, memory, [r.text], r.tags, r.buckets).select(F.lit(r.query_id).alias("query_id"), F.lit(r.part).alias("part"), *SHOWN[1:], F.lit(None).cast("int").alias("attempt")).withColumn("turn", F.lit(1e18))
+        for r in sent
+    ]
+    out = exact[0]
+    for x in exact[1:]:
+        out = out.unionByName(x)
+    w = Window.partitionBy("query_id", "part", "id").orderBy(F.desc("turn"))
+    return out.unionByName(found.drop("branch")).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
 def smart_search(memory: DataFrame, requests: Sequence[Request], char_budget: int = 20_000, enough: int = 10, today: date = date(2026, 2, 1)) -> DataFrame:
-    """Whole queries first; where they find fewer than ``enough`` rows, their main entities are searched too and united by id."""
-    split = [Request(1000 * r.query_id + i, e, attempts=[[e]]) for r in requests for i, e in enumerate(Q.entities(r.text), 1)]
-    # both in one batch: the parts' ids carry the query's id
-    all_found = search(memory, [*requests, *split], char_budget, today=today)
-    owner = F.when(F.col("query_id") >= 1000, F.floor(F.col("query_id") / 1000).cast("int")).otherwise(F.col("query_id"))
-    marked = all_found.withColumns({"part": F.col("query_id") >= 1000, "query_id": owner})
-    n = F.count(F.when(~F.col("part"), 1)).over(Window.partitionBy("query_id"))
-    used = marked.withColumn("n", n).where(~F.col("part") | (F.col("n") < enough))
+    """Whole queries first; where they find fewer than ``enough`` rows, their main entities are searched too and united by id.
+
+    Adds ``budget``: the characters its results may fill, half as many again for a query that was split."""
+    split = [Request(r.query_id, e, r.buckets, r.tags, r.mode, [[e]], i) for r in requests for i, e in enumerate(Q.entities(r.text), 1)]
+    marked = search(memory, [*requests, *split], char_budget, today=today)
+    n = F.count(F.when(F.col("part") == 0, 1)).over(Window.partitionBy("query_id"))
+    used = marked.withColumn("n", n).where((F.col("part") == 0) | (F.col("n") < enough))
     w = Window.partitionBy("query_id", "id").orderBy("part", F.desc("score"))
-    return used.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*SHOWN)
+    budget = F.when(F.col("n") < enough, F.lit(char_budget * 3 // 2)).otherwise(F.lit(char_budget))
+    return used.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*SHOWN, budget.alias("budget"))
 
 
 def molecule_search(memory: DataFrame, query_id: int, text: str, k: int = 20, today: date = date(2026, 2, 1)) -> DataFrame:
@@ -170,7 +267,7 @@ def engram_key(c: Column) -> Column:
 def engram_lookup(engrams: DataFrame, memory: DataFrame, keys: Sequence[str], tags: Sequence[str] = (), buckets: Sequence[str] = ()) -> DataFrame:
     """Rows named by exact keys that hold all the tags and buckets; score 200. ``engrams``: (key, value: JSON array of ids)."""
     wanted = memory.sparkSession.createDataFrame([(k,) for k in keys], "text string").select(engram_key(F.col("text")).alias("key")).distinct()
-    ids = engrams.join(F.broadcast(wanted), "key").select(F.explode(F.from_json("value", "array<bigint>")).alias("id")).distinct()
+    ids = engrams.join(F.broadcast(wanted) if len(keys) <= MOST_ROWS else wanted, "key").select(F.explode(F.from_json("value", "array<bigint>")).alias("id")).distinct()
     return memory.join(ids, "id", "left_semi").where(holds_all("tags", tags) & holds_all("buckets", buckets)).withColumn("score", F.lit(200.0))
 
 
@@ -233,38 +330,45 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n).otherwise(0.0)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", block: int = 512) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", block: int = 8192, vector_block: int = 2048) -> DataFrame:
     """(query_id, neighbour, score): the ``k`` nearest vectors of each query by cosine, exact.
 
-    The queries are cut into blocks of bounded size; each block meets every vector batch as one matrix product, and each
-    task keeps the best ``k`` per query, so that only k rows per query and task are shuffled."""
+    Queries and vectors are cut into blocks of about ``block`` and ``vector_block`` rows by a hash of the key. Each block of vectors meets each block of
+    queries as one matrix product in a task of its own and gives the best ``k`` of each query: what is stated is a query set against
+    all rows, in blocks, and nothing of either side reaches the driver but their numbers."""
     import numpy as np
-    import pandas as pd
-
-    rows = queries.select(F.col(key).alias("q"), F.col(vec).alias("v")).orderBy("q").collect()  # the request's own vectors
-    blocks = [rows[i : i + block] for i in range(0, len(rows), block)]
-    parts = []
-    for b in blocks:
-        ids = np.array([r.q for r in b], np.int64)
-        width = max((len(r.v) for r in b), default=0)
-        m = np.array([np.asarray(r.v, float) if len(r.v) == width else np.zeros(width) for r in b])
-        unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-        def nearest(batches, ids=ids, unit=unit, width=width):  # noqa: ANN001, ANN202
-            held: pd.DataFrame | None = None
-            for pdf in batches:
-                vs = np.stack([np.asarray(v, float) if v is not None and len(v) == width else np.zeros(width) for v in pdf[vec]]) if len(pdf) else np.zeros((0, width))
-                scores = unit @ (vs / np.maximum(np.linalg.norm(vs, axis=1, keepdims=True), 1e-300)).T
-                keys = pdf[key].to_numpy()
-                order = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-                got = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "neighbour": keys[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-                held = got if held is None else pd.concat([held, got])
-                held = held[held.query_id != held.neighbour].sort_values(["query_id", "score", "neighbour"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if held is not None:
-                yield held
-
-        parts.append(vectors.select(key, vec).mapInPandas(nearest, "query_id bigint, neighbour bigint, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top(out, k, key="neighbour")
+    import pyarrow as pa
+
+    n_q, n_v = (max(1, -(-df.count() // size)) for df, size in ((queries, block), (vectors, vector_block)))
+    cut = lambda df, n, name: df.select(F.col(key), F.col(vec), F.pmod(F.xxhash64(F.col(key)), F.lit(n)).alias(name))
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias(name)
+    q = cut(queries, n_q, "qb").select("*", each(n_v, "vb"))
+    v = cut(vectors, n_v, "vb").select("*", each(n_q, "qb"))
+
+    def matrix(t: pa.Table, width: int) -> np.ndarray:
+        m = np.array([x if x is not None and len(x) == width else [0.0] * width for x in t[vec].to_pylist()], float).reshape(t.num_rows, width)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def nearest(_key, a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, keys = a[key].to_numpy(), b[key].to_numpy()
+        order = np.argsort(keys, kind="stable")  # of equal scores the least key goes first
+        b, keys = b.take(pa.array(order)), keys[order]
+        out = []
+        for width in sorted({len(x) for x in a[vec].to_pylist() if x is not None} | {0}):
+            mine = np.flatnonzero([(len(x) if x is not None else 0) == width for x in a[vec].to_pylist()])
+            if not len(mine) or not len(keys):
+                continue
+            against = matrix(b, width).T
+            for i in range(0, len(mine), 512):
+                some = mine[i : i + 512]
+                scores = matrix(a.take(pa.array(some)), width) @ against
+                scores[ids[some][:, None] == keys[None, :]] = -2.0  # not itself
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                got = np.take_along_axis(scores, best, 1).ravel()
+                out.append((np.repeat(ids[some], best.shape[1])[got > -2], keys[best].ravel()[got > -2], got[got > -2]))
+        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "neighbour": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+
+    q, v = (df.repartition(n_q * n_v, "qb", "vb") for df in (q, v))  # a product each: sizes say nothing of the work
+    pairs = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInArrow(nearest, "query_id bigint, neighbour bigint, score double")
+    return top(pairs, k, key="neighbour")

@@ -14,7 +14,7 @@ from ..operators import dedup, graph, links, packing
 from ..operators import organize as O
 from ..operators import retrieval as R
 from ..session import table, write_shared
-from .base import DOCS, MEMORY, docs, joined, memory
+from .base import DOCS, KEYWORDS, MEMORY, docs, joined, memory
 
 c = F.col
 TODAY = date(2026, 2, 1)
@@ -23,6 +23,10 @@ TERMS = {(1, 1): ["pressure", "queue"], (2, 1): ["glossary", "page"], (3, 1): ["
 REQUESTS = [R.Request(1, "What was the pressure of the queue?"), R.Request(2, "Please show the Glossary page"), R.Request(3, "snapshot zebra Messreihe")]
 
 
+#: Requests with hashtags, and one whose whole text is an exact key.
+ROUTED = [R.Request(1, "pressure #Pressure"), R.Request(2, "the Glossary page"), R.Request(3, "field"), R.Request(4, "queue of the pump", buckets=["chat", "notes"])]
+
+
 def _frame(spark, terms=None):
     return R.term_frame(spark, terms or TERMS)
 
@@ -74,13 +78,45 @@ def tag_subset_filter(spark, d):
 
 
 def executed_search(spark, d):
+    """Near copies give way within the results, and leave their tags to the row that stays."""
     found = R.search(memory(spark, d), REQUESTS, 8000, today=TODAY)
     fp = found.withColumn("simhash", K.simhash("content"))
     return dedup.suppress(fp).select("query_id", "id", F.round("score", 4).alias("score"), F.array_join(F.array_sort("tags"), "|").alias("tags"))
 
 
+def searched_scored(spark, d):
+    """The same results before near copies give way."""
+    return R.search(memory(spark, d), REQUESTS, 8000, today=TODAY).select("query_id", "id", F.coalesce("attempt", F.lit(0)).alias("attempt"), F.round("score", 4).alias("score"))
+
+
+def _routed(spark, d):
+    m = memory(spark, d)
+    e = m.groupBy(R.engram_key(F.col("bucket")).alias("key")).agg(F.to_json(F.array_sort(F.collect_list("id"))).alias("value"))
+    return R.execute(m, ROUTED, 8000, keywords=KEYWORDS, engrams=e, today=TODAY)
+
+
+def routed_search(spark, d):
+    """Hashtags as buckets and tags, keywords of the query added, exact keys before all else."""
+    return _routed(spark, d).select("query_id", "id", F.round("score", 4).alias("score"))
+
+
+def whole_search(spark, d):
+    """The pipeline to its end: near copies give way, the rest is packed under the budget."""
+    kept = dedup.suppress(_routed(spark, d).withColumn("simhash", K.simhash("content")), order="turn")
+    p = packing.pack(packing.mixed_score(kept, "pressure", NOW), 2000)
+    return p.select("query_id", "id", F.round("mixed", 4).alias("mixed"), F.length("packed").alias("n_chars"), "position")
+
+
+def anchor_by_number(spark, d):
+    """Fragments that hold the terms, of a type and with a number between bounds, filtered before the cut."""
+    m = table(spark, d, "molecule").where("content is not null").groupBy("id").agg(F.max(F.struct("content", "type", "numeric_value", "numeric_unit")).alias("v")).select("id", "v.*")
+    frame = R.term_frame(spark, {(1, 1): ["pressure"], (2, 1): ["queue"], (3, 1): ["valve"]})
+    a = R.anchors(m.select("id", "content"), frame, 15, molecules=m.drop("content"), kind="data", least=10.0, most=5000.0)
+    return a.select("query_id", "id", "score", "type", F.round("numeric_value", 4).alias("numeric_value"))
+
+
 def smart_split_union(spark, d):
-    return R.smart_search(memory(spark, d), REQUESTS, 8000, today=TODAY).select("query_id", "id", F.round("score", 4).alias("score"))
+    return R.smart_search(memory(spark, d), REQUESTS, 8000, today=TODAY).select("query_id", "id", F.round("score", 4).alias("score"), "budget")
 
 
 def molecule_pieces(spark, d):
@@ -200,13 +236,6 @@ def asof_link(spark, d):
 
 
 def jaccard_link(spark, d):
-    m = docs(spark, d)
-    s = m.where("provenance = 'external'").select("id", F.substring("content", 1, 400).alias("content"), F.ceil(F.length("content") / 4).alias("n_tokens"))
-    return links.jaccard_links(s, m.where("provenance <> 'external'").select("id", "content"), 0.5)
-
-
-def jaccard_link_whole(spark, d):
-    """``jaccard_link`` over whole summaries at the operator's own threshold; the SQL beside that one is of summaries' heads at 0.5."""
     m = docs(spark, d)
     s = m.where("provenance = 'external'").select("id", "content", F.ceil(F.length("content") / 4).alias("n_tokens"))
     return links.jaccard_links(s, m.where("provenance <> 'external'").select("id", "content"))
@@ -256,9 +285,9 @@ def date_interpolate(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        fts_postings, fts_anchor_topk, anchor_scored, anchor_filtered, anchor_modes, tag_walk, walk_union, tag_overlap_filter, tag_subset_filter, executed_search, smart_split_union, molecule_pieces, iterative_attempts, engram_lookup,
+        fts_postings, fts_anchor_topk, anchor_scored, anchor_filtered, anchor_modes, tag_walk, walk_union, tag_overlap_filter, tag_subset_filter, executed_search, searched_scored, routed_search, whole_search, anchor_by_number, smart_split_union, molecule_pieces, iterative_attempts, engram_lookup,
         basic_substring, file_cascade, near_dup_suppressed, pack_budget, pack_recent, recency_mix, elastic_windows, bright_edges, structured_graph_nodes, unbound_antijoin, content_dedup, hash_change_detection, session_next_edges,
-        moment_entity_union, vector_knn, hybrid_rerank, visible_memories, asof_link, jaccard_link, jaccard_link_whole, embed_link_delta, declared_link, run_rollback, committed_edges, entity_upsert, date_interpolate,
+        moment_entity_union, vector_knn, hybrid_rerank, visible_memories, asof_link, jaccard_link, embed_link_delta, declared_link, run_rollback, committed_edges, entity_upsert, date_interpolate,
     )
 }
 
@@ -328,9 +357,9 @@ SQL = {
     "visible_memories": f"with {DOCS} select id from docs where case when provenance = 'internal' then true when provenance = 'quarantine' then false else not coalesce(regexp_matches(lower(source), 'combined_text|prompt-logs|prompt_logs|calibration_run|dry-run|dry_run|tests/|weaver'), false) and not contains(content, 'thinking_content') and not contains(lower(content), '[planner]') and lang is not null end",
     "asof_link": "with s as (select event_id as s_id, epoch_us(ts) as s_us from events where event_type = 'purchase'), o as (select event_id as o_id, epoch_us(ts) as o_us from events where event_type <> 'purchase'), j as (select s_id, o_id, s_us - o_us as lag_us, row_number() over (partition by s_id order by o_us desc, o_id) as r from s join o on o_us between s_us - 600000000 and s_us) select s_id, o_id, lag_us from j where r = 1",
     "jaccard_link": r"""with d as (select doc_id as id, text as content, provenance as p from documents where text is not null),
- w as (select id, list_distinct(list_filter(string_split(lower(regexp_replace(case when p = 'external' then substr(content, 1, 400) else content end, '[^a-zA-Z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 2)) as ws, length(content) as n, cast(ceil(length(content) / 4) as bigint) * 4 as chars, p from d),
+ w as (select id, list_distinct(list_filter(string_split(lower(regexp_replace(content, '[^a-zA-Z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 2)) as ws, length(content) as n, cast(ceil(length(content) / 4) as bigint) * 4 as chars, p from d),
  j as (select s.id as s_id, o.id as o_id, len(list_intersect(s.ws, o.ws)) as b, len(s.ws) as x, len(o.ws) as y from w s join w o on s.p = 'external' and o.p <> 'external' and o.n >= greatest(200, floor(0.5 * s.chars)) and o.n <= floor(1.6 * s.chars) and len(s.ws) > 0 and len(o.ws) > 0),
- k as (select s_id, o_id, round(b / (x + y - b), 6) as score from j), r as (select *, row_number() over (partition by s_id order by score desc, o_id) as rn from k where score >= 0.5) select s_id, o_id, score from r where rn = 1""",
+ k as (select s_id, o_id, round(b / (x + y - b), 6) as score from j), r as (select *, row_number() over (partition by s_id order by score desc, o_id) as rn from k where score >= 0.18) select s_id, o_id, score from r where rn = 1""",
     "embed_link_delta": """with v as (select vec_id as id, cast(embedding as double[]) as e, vec_id % 7 as app, label from embeddings),
  n as (select s.id as s_id, o.id as o_id, s.e as se, o.e as oe, cast(s.app = o.app as int) as same, abs(s.id - o.id) as gap from v s join v o on s.label < 5 and o.label >= 5 and abs(s.id - o.id) <= 24),
  q as (select *, row_number() over (partition by s_id, same order by gap, o_id) as r from n), k as (select s_id, o_id, round(list_cosine_similarity(se, oe), 6) as score from q where r <= case when same = 1 then 100 else 200 end),
@@ -350,3 +379,55 @@ SQL = {
  window b as (partition by user_id order by event_id rows between unbounded preceding and current row), f2 as (partition by user_id order by event_id rows between current row and unbounded following))
  select event_id, cast(round(a_t + (b_t - a_t) * case when b_p > a_p then (event_id - a_p) / cast(b_p - a_p as double) else 0 end) as bigint) as filled_us, k is null as is_estimated from w""",
 }
+
+
+def _searched(sent: list, keep: str = _OPEN, budget: int = 8000, k_anchor: int | None = None) -> str:
+    """The best rows of each request's first attempt that finds anything, and their walk, in SQL."""
+    n_anchor, n_walk = Q.sizes(budget)[1:]
+    terms = [(r.query_id, r.part, a, t, len(set(ts))) for r in sent for a, ts in enumerate(r.attempts or Q.strategies(r.text, TODAY), 1) for t in dict.fromkeys(ts)]
+    lists = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::varchar[]"
+    asked = ", ".join(f"({r.query_id}, {r.part}, {lists(r.buckets)}, {lists(r.tags)})" for r in sent)
+    may = "(len(r.bs) = 0 or list_has_any(m.buckets, r.bs)) and (len(r.gs) = 0 or list_has_any(m.tags, r.gs))"
+    return rf"""
+asked(query_id, part, bs, gs) as (values {asked}),
+terms(query_id, part, attempt, term, n_terms) as (values {", ".join(f"({q}, {p}, {a}, '{t}', {n})" for q, p, a, t, n in terms)}),
+word as (select id, unnest(string_split(lower(regexp_replace(content, '[^a-zA-Z0-9]+', ' ', 'g')), ' ')) as term from docs),
+post as (select term, id, count(*) as tf from word where term in (select term from terms) group by 1, 2),
+idf as (select term, ln(1 + (select count(*) from docs) / cast(count(*) as double)) as w from post group by 1),
+fts as (select query_id, part, attempt, id, round(sum(tf * w), 6) as fts from post join terms using (term) join idf using (term) group by query_id, part, attempt, n_terms, id having count(*) = n_terms),
+open as (select * from memory where {keep}),
+hit as (select f.*, m.tags from fts f join open m using (id) join asked r using (query_id, part) where {may}),
+first as (select query_id, part, min(attempt) as attempt from hit group by 1, 2),
+anchors as (select query_id, part, attempt, id, tags, round(70 * fts, 6) as score from (select *, row_number() over (partition by query_id, part order by round(70 * fts, 6) desc, id) as rk from hit join first using (query_id, part, attempt)) where rk <= {k_anchor or n_anchor}),
+seed as (select distinct query_id, part, unnest(tags) as tag from anchors),
+near as (select distinct s.query_id, s.part, m.id from (select id, buckets, tags, unnest(tags) as tag from open) m join seed s using (tag) join asked r on r.query_id = s.query_id and r.part = s.part where {may}),
+walk as (select * from (select *, row_number() over (partition by query_id, part order by id) as rk from near where not exists (select 1 from anchors a where a.query_id = near.query_id and a.part = near.part and a.id = near.id)) where rk <= {n_walk}),
+both_ways as (select query_id, part, id, attempt, score from anchors union all select query_id, part, id, 0, 30.0 from walk),
+found as (select b.query_id, b.part, b.id, b.attempt, b.score * (case when provenance = 'internal' then 2.0 else 1.0 end) * {_KIND} as score from both_ways b join memory using (id))
+"""
+
+
+_SENT = [R.routed(r, KEYWORDS, TODAY) for r in ROUTED]
+_SPLIT = [*REQUESTS, *[R.Request(r.query_id, e, attempts=[[e]], part=i) for r in REQUESTS for i, e in enumerate(Q.entities(r.text), 1)]]
+_PIECES = {(i, 1): Q.keywords(p, TODAY) for i, p in enumerate(Q.molecules("the pressure queue, the glossary page; a snapshot of the pump"))}
+_EXACT = " union all ".join(
+    f"select {r.query_id} as query_id, id, 200.0 as score from memory where lower(trim(bucket, ' ')) = '{r.text.lower()}' and list_has_all(tags, {list(r.tags)}::varchar[]) and list_has_all(buckets, {list(r.buckets)}::varchar[])" for r in _SENT
+)
+SQL |= {
+    "searched_scored": f"with {MEMORY}, {_searched(REQUESTS)} select query_id, id, attempt, round(score, 4) as score from found",
+    "routed_search": f"with {MEMORY}, {_searched(_SENT)}, exact as ({_EXACT}) select * from exact union all select query_id, id, round(score, 4) from found f where not exists (select 1 from exact x where x.query_id = f.query_id and x.id = f.id)",
+    "smart_split_union": f"with {MEMORY}, {_searched(_SPLIT)}, n as (select query_id, count(*) filter (part = 0) as n from found group by 1), u as (select *, row_number() over (partition by query_id, id order by part, score desc) as rn from found join n using (query_id) where part = 0 or n < 10) select query_id, id, round(score, 4) as score, case when n < 10 then 12000 else 8000 end as budget from u where rn = 1",
+    "molecule_pieces": f"with {MEMORY}, {_searched([R.Request(q, '', attempts=[t]) for (q, _), t in _PIECES.items()], k_anchor=10)}, u as (select *, row_number() over (partition by id order by query_id) as rn from anchors) select 7 as query_id, query_id as piece, id, score from u where rn = 1",
+    "anchor_by_number": r"""with m as (select id, v.content as content, v.type as type, v.numeric_value as x from (select id, max({'content': content, 'type': type, 'numeric_value': numeric_value, 'numeric_unit': numeric_unit}) as v from molecule where content is not null group by 1)),
+ w as (select id, unnest(string_split(lower(regexp_replace(content, '[^a-zA-Z0-9]+', ' ', 'g')), ' ')) as term from m), t(query_id, term) as (values (1, 'pressure'), (2, 'queue'), (3, 'valve')), p as (select query_id, term, id, count(*) as tf from w join t using (term) group by 1, 2, 3),
+ i as (select term, ln(1 + (select count(*) from m) / cast(count(*) as double)) as idf from p group by 1), s as (select query_id, id, round(70 * round(tf * idf, 6), 6) as score, type, round(x, 4) as numeric_value, row_number() over (partition by query_id order by round(70 * round(tf * idf, 6), 6) desc, id) as rk from p join i using (term) join m using (id) where type = 'data' and x >= 10 and x <= 5000)
+ select query_id, id, score, type, numeric_value from s where rk <= 15""",
+    "pack_recent": f"""with {MEMORY}, {_FTS}, {_anchors(40, _OPEN)}, {_PACK.format(budget=int(1200 * 0.95) * 4).replace('0.7 * score + 0.3 *', '0.4 * score + 0.6 *')},
+ txt as (select *, case when over_at is null or rk < over_at then content when stop - 1 > room * 0.5 then substr(content, 1, stop) || ' [Truncated]' else head || '...' end as packed from pk where n_chars is not null)
+ select query_id, string_agg('[Source: ' || coalesce(source, '') || '] (' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z)' || chr(10) || packed, chr(10) || chr(10) order by ts_us, id) as prompt, sum(length(packed)) as n_chars from txt group by 1""",
+    "hybrid_rerank": f"""with {MEMORY}, {_FTS}, {_anchors(8, 'true')},
+ v as (select q.vec_id as query_id, v.vec_id as id, list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])) as s from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0), v8 as (select query_id, id, s as score from (select *, row_number() over (partition by query_id order by s desc, id) as rk from v) where rk <= 8),
+ u as (select query_id, v8.id, score, docs.id % 11 as importance, 0 as branch from v8 left join docs using (id) union all select query_id, id, score, id % 11, 1 from anchors), f as (select query_id, id, round(score + 0.2 * coalesce(importance, 0) / 10, 6) as score from (select *, row_number() over (partition by query_id, id order by branch, score desc) as rn from u) where rn = 1),
+ rec as (select 99 as query_id, id, 0.0 as score from (select id, row_number() over (partition by bucket order by ts desc nulls last, id) as rk from docs) where rk <= 3), al as (select * from f union all select * from rec where 99 not in (select query_id from f)),
+ r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from al) select query_id, id, round(score, 4) as score, rank from r where rank <= 10""",
+}

@@ -52,9 +52,27 @@ def test_search_backs_off_and_unites(spark):
     assert R.search(m, [R.Request(1, "zebra")], 4000).collect() == []
 
 
-def test_too_many_terms(spark):
-    with pytest.raises(ValueError):
-        R.term_frame(spark, {(1, 1): [str(i) for i in range(R.MOST_TERMS + 1)]})
+def test_more_terms_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(R, "MOST_TERMS", 3)
+    m = spark.createDataFrame([(i, f"word{i} common text") for i in range(20)], "id bigint, content string")
+    f = R.term_frame(spark, {(i, 1): [f"word{i}", "common"] for i in range(6)})
+    assert sorted((r.query_id, r.id) for r in R.fts(m, f).collect()) == [(i, i) for i in range(6)]
+
+
+def test_parts_do_not_clash_with_ids(spark):
+    rows = [(i, f"alpha{i % 3} beta", "s", ["b"], ["t"], "internal", "prose", None) for i in range(9)]
+    m = spark.createDataFrame(rows, "id bigint, content string, source string, buckets array<string>, tags array<string>, provenance string, type string, ts timestamp")
+    got = R.smart_search(m, [R.Request(1, "alpha0"), R.Request(1000, "alpha1"), R.Request(2001, "alpha2")], 4000).collect()
+    assert {r.query_id for r in got} == {1, 1000, 2001}
+
+
+def test_scopes_and_exact_keys(spark):
+    rows = [(1, "valve report", "s", ["notebook"], ["x"], "internal", "prose", None), (2, "valve list", "s", ["journal"], ["x"], "internal", "prose", None), (3, "no match", "s", ["notebook"], ["y"], "internal", "prose", None)]
+    m = spark.createDataFrame(rows, "id bigint, content string, source string, buckets array<string>, tags array<string>, provenance string, type string, ts timestamp")
+    e = spark.createDataFrame([("valve", "[3]")], "text string, value string").select(R.engram_key(F.col("text")).alias("key"), "value")
+    got = {(r.query_id, r.id): (r.score, r.turn) for r in R.execute(m, [R.Request(1, "valve #notebook"), R.Request(2, "valve")], 4000, engrams=e).collect()}
+    assert set(got) == {(1, 1), (1, 3), (2, 1), (2, 2), (2, 3)}
+    assert got[1, 3] == got[2, 3] == (200.0, 1e18) and got[2, 1][0] > 0
 
 
 def test_packing(spark):

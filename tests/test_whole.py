@@ -34,7 +34,7 @@ def test_whole_summaries_are_linked(spark, tables):
     # heads of 400 characters have other words than any original; the likeness lies behind them
     texts = [(i, say(heads, 60) + " " + say(tails[5 * i :], 60)) for i in range(6)] + [(100 + i, say(tails[2 * i :], rng.randint(50, 150))) for i in range(12)]
     kind = lambda i: "external" if i < 100 else "internal"
-    got = {r.s_id: (r.o_id, r.score) for r in QUERIES["jaccard_link_whole"](spark, tables("documents", documents(texts, kind), DOC)).collect()}
+    got = {r.s_id: (r.o_id, r.score) for r in QUERIES["jaccard_link"](spark, tables("documents", documents(texts, kind), DOC)).collect()}
     want = {}
     for i, t in texts[:6]:
         n = -(-len(t) // 4)
