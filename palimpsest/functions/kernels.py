@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import text as X
+
 _ESCAPES = {"n": "\n", "t": "\t", '"': '"', "\\": "\\", "r": ""}
 _ESCAPE = re.compile(r"\\(.?)", re.S)
 # Code-point ranges of drawn symbols, and notes of cut texts.
@@ -42,10 +45,48 @@ def unwrap(text: str) -> str:
     return re.sub(r"\\{2,}", "/", joined)
 
 
+def _python(pattern: str) -> re.Pattern:
+    """A pattern of the fixed lists, which are written for the JVM, with the JVM's meaning of its classes."""
+    return re.compile(re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern).replace(".*?", "[^\n\r\x85\u2028\u2029]*?"), re.A)
+
+
+#: Each cleaning step with texts that a match must hold: where one is missing, the pattern isn't tried.
+_NEEDED = (("\ufeff",), ("\0", "\ufffd"), ("\r\n",), ("'...",), ("-",), ("[",), ("%",), ("\n\n\n",), ("@",), (".",), ("sk-",))
+_STEPS = tuple((_python(p), to, need) for (p, to), need in zip((*X.NOISE, *X.PERSONAL), _NEEDED, strict=True))
+_OBJECT = re.compile(r"\{[\s\S]*?\}")
+_WHITE = " \t\n\x0b\f\r"
+
+
+def _wrapped(text: str) -> str:
+    """Texts of the flat JSON objects in a text, each followed by a blank line; the text itself if there are none."""
+    found = []
+    for m in _OBJECT.finditer(text):
+        try:
+            x = json.loads(m[0], strict=False)
+        except ValueError:
+            continue
+        if (got := next((x[k] for k in X.JSON_FIELDS if isinstance(x.get(k), str) and x[k]), None)) is not None:
+            found.append(got)
+    return "\n\n".join(found) + "\n\n" if found else text
+
+
+def sanitized(text: str | None, path: str | None) -> str | None:
+    """The cleaning pipeline: noise, personal data, JSON wrappers, outer white space."""
+    if text is None:
+        return None
+    for pattern, to, need in _STEPS:
+        if any(n in text for n in need):
+            text = pattern.sub(to, text)
+    path = path or ""
+    log = path.endswith(".json") or ('":' in text and path.rpartition(".")[2].lower() not in X.CODE_EXT and any(k in text for k in ('"response_content":', '"thinking_content":', '"message":', '"content":')))
+    return (unwrap(_wrapped(text)) if log else text).strip(_WHITE)
+
+
 def _each(fn):
     return lambda s: s.map(lambda x: None if x is None else fn(x))
 
 
+sanitize = F.pandas_udf(lambda texts, paths: pd.Series([sanitized(t, p) for t, p in zip(texts, paths)]), T.StringType())
 cleanse = F.pandas_udf(_each(unescape), T.StringType())
 strip_wrappers = F.pandas_udf(_each(unwrap), T.StringType())
 

@@ -78,12 +78,10 @@ def is_json_log(c: Column, path: Column) -> Column:
 
 
 def sanitize(c: Column, path: Column) -> Column:
-    """The cleaning pipeline: noise, personal data, JSON wrappers, outer white space."""
-    from .kernels import strip_wrappers
+    """The cleaning pipeline: noise, personal data, JSON wrappers, outer white space; in one pass over each Arrow batch."""
+    from .kernels import sanitize as kernel
 
-    clean = mask_personal(_chain(c, NOISE))
-    unwrapped = F.coalesce(json_content(clean), clean)
-    return F.regexp_replace(F.when(is_json_log(clean, path), strip_wrappers(unwrapped)).otherwise(clean), r"^\s+|\s+$", "")
+    return kernel(c, path)
 
 
 # --- types, numbers, tags -----------------------------------------------------------------------
