@@ -82,12 +82,23 @@ def sanitized(text: str | None, path: str | None) -> str | None:
     return (unwrap(_wrapped(text)) if log else text).strip(_WHITE)
 
 
+def peel(text: str, most: int = 3) -> str:
+    """Escapes undone again and again, as of text that was quoted several times; at most ``most`` passes, symbols stay."""
+    for _ in range(most):
+        flat = _ESCAPE.sub(lambda m: _ESCAPES.get(m[1], m[0] if m[1] else ""), text)
+        if flat == text:
+            break
+        text = flat
+    return text
+
+
 def _each(fn):
     return lambda s: s.map(lambda x: None if x is None else fn(x))
 
 
 sanitize = F.pandas_udf(lambda texts, paths: pd.Series([sanitized(t, p) for t, p in zip(texts, paths)]), T.StringType())
 cleanse = F.pandas_udf(_each(unescape), T.StringType())
+peeled = F.pandas_udf(_each(peel), T.StringType())
 strip_wrappers = F.pandas_udf(_each(unwrap), T.StringType())
 
 PIECES = T.ArrayType(T.StructType([T.StructField("content", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

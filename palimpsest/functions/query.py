@@ -87,6 +87,11 @@ def sizes(char_budget: int) -> tuple[int, int, int]:
     return target, -(-7 * target // 10), max(2, 3 * target // 10)
 
 
+def legacy_k(max_chars: int, deep: bool = False) -> int:
+    """Candidates of the older search: one per 500 characters, at least 30, or 200 of a deep one."""
+    return max(200 if deep else 30, -(-max_chars // 500))
+
+
 def entities(q: str, most: int = 3) -> list[str]:
     """The most frequent topic words of a query, first come first."""
     words = [w for w in fts(q).split() if w not in STOP]

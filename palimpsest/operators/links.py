@@ -101,6 +101,25 @@ def declared_links(summaries: DataFrame, originals: DataFrame) -> DataFrame:
     return both.select("s_id", F.coalesce("a_id", "k_id").alias("o_id"), F.when(F.col("a_id").isNotNull(), "app_id").when(F.col("k_id").isNotNull(), "id").alias("by")).where("o_id is not null")
 
 
+def weave(summaries: DataFrame, originals: DataFrame, run_id: str, hours: float = 24, threshold: float = 0.3, delta: float = 0.02, batch: int = 0, batches: int = 1, idle_s: int | None = None) -> DataFrame:
+    """One run of link repair over a batch of the summaries: audit rows (run_id, s_id, o_id, method, score, status).
+
+    A summary gets the original nearest by vector; where that is unsure, the latest one before it. ``batch`` of ``batches`` is cut by a hash of
+    the id. ``idle_s``: seconds since the user was last active; under 300 the run does nothing."""
+    s = summaries.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch)
+    if idle_s is not None and idle_s < 300:
+        s = s.where(F.lit(False))
+    by_vector = vector_links(s, originals, hours, threshold, delta)
+    by_time = asof_links(s, originals, int(hours * 3600)).select("s_id", F.col("o_id").alias("t_id"))
+    both = s.select(F.col("id").alias("s_id")).join(by_vector, "s_id", "left").join(by_time, "s_id", "left")
+    sure = F.coalesce(F.col("status") == "ok", F.lit(False))
+    method = F.when(sure, "vector").when(F.col("t_id").isNotNull(), "timestamp").otherwise("none")
+    return both.select(
+        F.lit(run_id).alias("run_id"), "s_id", F.when(sure, F.col("o_id")).otherwise(F.col("t_id")).alias("o_id"), method.alias("method"), F.when(sure, F.col("score")).alias("score"),
+        F.when(sure, "ok").when(F.col("t_id").isNotNull(), F.coalesce("status", F.lit("no_candidate"))).otherwise("unlinked").alias("status"),
+    )
+
+
 def rollback(edges: DataFrame, undone: DataFrame, *on: str) -> DataFrame:
     """Edges without those of the undone runs, or the undone pairs."""
     return edges.join(undone.select(*on).distinct(), list(on), "left_anti")

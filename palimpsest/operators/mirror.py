@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +55,21 @@ def documents(bundled: DataFrame) -> DataFrame:
     return g.select("dir", "file", F.concat(intro, F.array_join(F.col("rs.b"), "")).alias("markdown"))
 
 
-def write_mirror(docs: DataFrame, path: str) -> None:
-    """One folder per mirror folder; the text of each bundle is one row."""
-    docs.select("dir", "file", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("dir").parquet(path)
+def write_files(docs: DataFrame, root: str) -> DataFrame:
+    """Each bundle as the file ``root/dir/file``, by the tasks that hold them; ``root`` is a folder all executors share.
+
+    A file appears whole or not at all, so that a task that runs again only writes the same once more. Gives (dir, file, bytes) when read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            for r in rows:
+                folder = os.path.join(root, r["dir"])
+                os.makedirs(folder, exist_ok=True)
+                with tempfile.NamedTemporaryFile("w", encoding="utf-8", errors="surrogatepass", newline="", dir=folder, delete=False) as f:
+                    f.write(r["markdown"])
+                os.replace(f.name, os.path.join(folder, r["file"]))
+            sizes = [len(r["markdown"].encode("utf-8", "surrogatepass")) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r["dir"] for r in rows]), pa.array([r["file"] for r in rows]), pa.array(sizes, pa.int64())], names=["dir", "file", "bytes"])
+
+    return docs.select("dir", "file", "markdown").mapInArrow(run, "dir string, file string, bytes bigint")

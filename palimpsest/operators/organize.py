@@ -202,6 +202,11 @@ def insert_only(current: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return current.unionByName(rows.dropDuplicates([key]).join(current.select(key), key, "left_anti").select(*current.columns))
 
 
+def api_rows(rows: DataFrame) -> DataFrame:
+    """Rows that come in from outside: their trust class is ``external`` whatever they say, and repeated ones stay."""
+    return rows.withColumn("provenance", F.lit("external"))
+
+
 def update_column(current: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
     new = changes.select(key, F.col(column).alias("_new"), F.lit(True).alias("_hit")).dropDuplicates([key])
     return current.join(new, key, "left").withColumn(column, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column))).drop("_new", "_hit")

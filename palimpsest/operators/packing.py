@@ -67,3 +67,17 @@ def elastic_windows(docs: DataFrame, needles: list[str], budget: int, key: str =
     island = F.sum(F.when(F.col("s") <= before + gap, 0).otherwise(1)).over(w)
     merged = ranges.withColumn("island", island).groupBy(key, "island").agg(F.min("s").alias("start"), F.max("e").alias("end"))
     return merged.join(docs.select(key, text), key).select(key, "start", "end", F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")).alias("snippet"))
+
+
+def snippet_context(windows: DataFrame, docs: DataFrame, budget: int, key: str = "id") -> DataFrame:
+    """(position, entry): headers and snippets in order of the documents' scores until the budget is full.
+
+    ``windows``: of ``elastic_windows``; ``docs``: (key, source, score). What follows the first entry that doesn't fit is left out. The
+    hits of one request are few: their running length is one window."""
+    w = windows.join(docs.select(key, "source", "score"), key)
+    head = w.groupBy(key, "source", "score").agg(F.lit(-1).alias("start")).withColumn("entry", F.concat(F.lit("### Source: "), F.coalesce("source", F.lit("")), F.lit(" (Score: "), F.round("score").cast("bigint"), F.lit(")\n")))
+    body = w.select(key, "source", "score", "start", F.concat(F.lit("..."), F.regexp_replace("snippet", "\n", " "), F.lit("...\n\n")).alias("entry"))
+    order = Window.orderBy(F.desc("score"), key, "start")
+    rows = head.select(key, "score", "start", "entry").unionByName(body.select(key, "score", "start", "entry"))
+    total = F.sum(F.length("entry")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumns({"position": F.row_number().over(order), "_total": total}).where(F.col("_total") <= budget).select("position", key, "entry")

@@ -75,9 +75,3 @@ def best_second(df: DataFrame, by: str, score: str, key: str) -> DataFrame:
     """Best and second score of each group and their difference."""
     w = Window.partitionBy(by).orderBy(F.desc(score), key)
     return df.withColumns({"rank": F.row_number().over(w), "second": F.lead(score).over(w)}).where("rank = 1").select(by, F.col(key).alias("best"), F.col(score).alias("score"), "second", F.round(F.col(score) - F.coalesce("second", F.lit(0.0)), 6).alias("delta"))
-
-
-def ratio_similarity(a, b):  # noqa: ANN001, ANN201
-    from ..functions.kernels import char_similarity
-
-    return char_similarity(a, b)

@@ -241,6 +241,19 @@ def jaccard_link(spark, d):
     return links.jaccard_links(s, m.where("provenance <> 'external'").select("id", "content"))
 
 
+def weave_links(spark, d):
+    """A run over both halves of the summaries."""
+    v = table(spark, d, "embeddings").select(c("vec_id").alias("id"), "embedding", "label", (c("vec_id") % 7).alias("app"), F.timestamp_seconds(F.lit(1735689600) + c("vec_id") * 3600).alias("ts"))
+    runs = [links.weave(v.where("label < 5"), v.where("label >= 5"), "run", batch=i, batches=2) for i in range(2)]
+    return runs[0].unionByName(runs[1]).select("s_id", "o_id", "method", "score", "status")
+
+
+def legacy_search(spark, d):
+    """The older search: k from the budget, one bucket."""
+    t = R.term_frame(spark, {(1, 1): ["pressure"], (2, 1): ["queue"]})
+    return R.anchors(memory(spark, d), t, Q.legacy_k(20_000), c("bucket").isin("field", "notes")).select("query_id", "id", "fts")
+
+
 def embed_link_delta(spark, d):
     v = table(spark, d, "embeddings").select(c("vec_id").alias("id"), "embedding", "label", (c("vec_id") % 7).alias("app"), F.timestamp_seconds(F.lit(1735689600) + c("vec_id") * 3600).alias("ts"))
     return links.vector_links(v.where("label < 5"), v.where("label >= 5"), 24, 0.3, 0.02)
@@ -287,7 +300,7 @@ QUERIES = {
     for f in (
         fts_postings, fts_anchor_topk, anchor_scored, anchor_filtered, anchor_modes, tag_walk, walk_union, tag_overlap_filter, tag_subset_filter, executed_search, searched_scored, routed_search, whole_search, anchor_by_number, smart_split_union, molecule_pieces, iterative_attempts, engram_lookup,
         basic_substring, file_cascade, near_dup_suppressed, pack_budget, pack_recent, recency_mix, elastic_windows, bright_edges, structured_graph_nodes, unbound_antijoin, content_dedup, hash_change_detection, session_next_edges,
-        moment_entity_union, vector_knn, hybrid_rerank, visible_memories, asof_link, jaccard_link, embed_link_delta, declared_link, run_rollback, committed_edges, entity_upsert, date_interpolate,
+        moment_entity_union, vector_knn, hybrid_rerank, visible_memories, asof_link, jaccard_link, weave_links, legacy_search, embed_link_delta, declared_link, run_rollback, committed_edges, entity_upsert, date_interpolate,
     )
 }
 
@@ -430,4 +443,6 @@ SQL |= {
  u as (select query_id, v8.id, score, docs.id % 11 as importance, 0 as branch from v8 left join docs using (id) union all select query_id, id, score, id % 11, 1 from anchors), f as (select query_id, id, round(score + 0.2 * coalesce(importance, 0) / 10, 6) as score from (select *, row_number() over (partition by query_id, id order by branch, score desc) as rn from u) where rn = 1),
  rec as (select 99 as query_id, id, 0.0 as score from (select id, row_number() over (partition by bucket order by ts desc nulls last, id) as rk from docs) where rk <= 3), al as (select * from f union all select * from rec where 99 not in (select query_id from f)),
  r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from al) select query_id, id, round(score, 4) as score, rank from r where rank <= 10""",
+    "legacy_search": f"with {MEMORY}, {_searched([R.Request(1, '', attempts=[['pressure']]), R.Request(2, '', attempts=[['queue']])], keep="bucket in ('field', 'notes')", k_anchor=40)} select a.query_id, a.id, f.fts from anchors a join fts f using (query_id, id)",
+    "weave_links": f"with k as ({SQL['embed_link_delta']}), t as (select s.vec_id as s_id, max(o.vec_id) as t_id from embeddings s join embeddings o on s.label < 5 and o.label >= 5 and o.vec_id between s.vec_id - 24 and s.vec_id group by 1), s as (select vec_id as s_id from embeddings where label < 5) select s_id, case when k.status = 'ok' then k.o_id else t_id end as o_id, case when k.status = 'ok' then 'vector' when t_id is not null then 'timestamp' else 'none' end as method, case when k.status = 'ok' then k.score end as score, case when k.status = 'ok' then 'ok' when t_id is not null then coalesce(k.status, 'no_candidate') else 'unlinked' end as status from s left join k using (s_id) left join t using (s_id)",
 }

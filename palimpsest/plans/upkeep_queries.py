@@ -369,6 +369,32 @@ def record_normaliser(spark, d):
     return files.normalised_records(t).select("id", F.unix_micros("ts").alias("us"), F.length("content").alias("n_chars"))
 
 
+def api_rows(spark, d):
+    return O.api_rows(docs(spark, d)).groupBy("provenance").agg(F.count("*").alias("n"))
+
+
+def file_search(spark, d):
+    """The first 20 files by path whose name fits and whose text holds a word."""
+    f = docs(spark, d).where("source is not null").select(c("source").alias("path"), "content")
+    return files.search_files(f, "*.md", "pump", 20).groupBy("path").agg(F.count("*").alias("n"))
+
+
+def squashed_sessions(spark, d):
+    """Turns as session files of a folder each, put together in order of their numbers."""
+    t = table(spark, d, "conversation_turns").where("session_id is not null and content is not null").groupBy("id").agg(F.min("session_id").alias("s"), F.min("content").alias("content"))
+    f = t.select(F.concat(F.lit("h/"), (c("id") % 50).cast("string"), F.lit("/session_part_"), "id", F.lit(".md")).alias("path"), "content")
+    return files.squashed(f).select("folder", F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
+
+
+def audit_appended(spark, d):
+    """Audit rows appended twice as CSV and read again."""
+    path = shared_dir(spark, "audit")
+    w = table(spark, d, "weaver_review").where("review_id is not null").select("review_id", "method").distinct()
+    for _ in range(2):
+        files.append_audit(w, path)
+    return spark.read.option("header", "true").schema("review_id bigint, method string").csv(path).groupBy("review_id").agg(F.count("*").alias("n"))
+
+
 def redirects(spark, d):
     u = docs(spark, d).where("source is not null").select("id", "source", F.concat(F.lit("https://search.example/l/?uddg="), F.url_encode(F.concat(F.lit("https://a.example/"), "source"))).alias("url"))
     return u.select("id", files.redirect_target(c("url")).alias("target"))
@@ -399,7 +425,7 @@ QUERIES = {
         dream_rebucket, discovery, master_keywords, seed_sample, keyset_pages, point_lookup, app_ids_filled, cleaned_filled, vectors_filled, sessions_cleared, quarantine_restore, quarantined_list, edited, upserted, inserted, column_updated, source_replaced, write_verified, contamination, freshness, evidence, prov_score, ingest_gate, soup_tags, rotated_contexts,
         live_sessions, saved_chats, distill_worklist, gap_sessions, session_windows, episodes, episode_topics, episode_entities, episode_words, episode_parents, recent_per_group, paged, mirror_paths, mirror_bundles, mirror_documents, global_tags, tag_counts, bucket_list, backup_stats,
         import_status, turns_stats, largest_sessions, missing_links, score_histogram, score_thresholds, weaver_summary, score_extremes, run_compare_median, runs_side_by_side, file_types, largest_files, consolidate_max, best_and_second, merged_tags,
-        json_props, raw_sql_recursive, backup_roundtrip, combined_texts, catalog_tables, record_normaliser, redirects, stream_ingest, stream_sessions,
+        json_props, raw_sql_recursive, backup_roundtrip, combined_texts, catalog_tables, record_normaliser, api_rows, file_search, squashed_sessions, audit_appended, redirects, stream_ingest, stream_sessions,
     )
 }
 
@@ -503,4 +529,8 @@ SQL |= {
  f as (select *, (rn - 1) // 100 + 1 as part, lower({_SAFE.format("case when src in ('', 'unknown') then 'daily_archive' else string_split(src, '/')[-1] end")}) || '_' || substr(md5(case when src = '' then 'orphan' else src end), 1, 8) || case when n > 100 then '_part' || ((rn - 1) // 100 + 1) else '' end || '.md' as file,
  '## [' || id || '] ' || {_MD} || chr(10) || '> **Provenance**: ' || coalesce(provenance, 'unknown') || ' | **Date**: ' || coalesce(strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z', 'unknown') || chr(10) || case when len(tags) > 0 then '> **Tags**: ' || array_to_string(tags, ', ') || chr(10) else '' end || chr(10) || content || chr(10) || chr(10) || '---' || chr(10) || chr(10) as block from r),
  g as (select dir, file, '# Source: ' || min(src) || chr(10) || case when max(n) > 100 then '> Part: ' || max(part) || chr(10) else '' end || chr(10) || '---' || chr(10) || chr(10) || string_agg(block, '' order by ts nulls first, id) as md from f group by 1, 2) select dir, file, length(md) as n_chars, md5(md) as digest from g""",
+    "api_rows": f"with {DOCS} select 'external' as provenance, count(*) as n from docs",
+    "file_search": f"with {DOCS}, k as (select source as path from docs where regexp_matches(source, '(^|/)[^/]*\\.md$') and contains(content, 'pump') order by source limit 20) select path, count(*) as n from k group by 1",
+    "squashed_sessions": "with t as (select id, min(content) as content from conversation_turns where session_id is not null and content is not null group by 1), g as (select 'h/' || (id % 50) as folder, string_agg(content, chr(10) || chr(10) order by id) as x from t group by 1) select folder, length(x) as n_chars, md5(x) as digest from g",
+    "audit_appended": "select review_id, 2 * count(distinct coalesce(method, '')) as n from weaver_review where review_id is not null group by 1",
 }

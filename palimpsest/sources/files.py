@@ -79,6 +79,14 @@ def split_combined(df: DataFrame, text: str = "content") -> DataFrame:
     return df.select(F.explode(both).alias("f")).select("f.path", "f.content")
 
 
+def squashed(files: DataFrame) -> DataFrame:
+    """(folder, content): session files of each folder as one text, in order of the number in their names, then of path."""
+    name = F.element_at(F.split("path", "/"), -1)
+    folder = F.regexp_replace("path", r"/?[^/]*$", "")
+    rows = files.select(folder.alias("folder"), F.struct(session_order(name).alias("n"), "path", "content").alias("r"))
+    return rows.groupBy("folder").agg(F.array_sort(F.collect_list("r")).alias("rs")).select("folder", F.array_join("rs.content", "\n\n").alias("content"))  # one text a folder is what is asked for
+
+
 def session_order(path: Column) -> Column:
     """The number in a session file's name; files without one come last."""
     return F.coalesce(F.regexp_extract(path, r"(?i)sessions?_part_(\d+)", 1).try_cast("int"), F.lit(999_999))
@@ -250,6 +258,17 @@ def list_newest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return raw.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes")).orderBy(F.desc("modified"), "path")
 
 
+def hydrated(current: DataFrame, root: str) -> DataFrame:
+    """The table as it is, or, if it is empty, the rows of the newest YAML snapshot below ``root`` (columns the snapshot lacks are null)."""
+    spark = current.sparkSession
+    if not current.isEmpty() or (path := newest_snapshot(spark, root)) is None:
+        return current
+    text = spark.read.text(path, wholetext=True).first().value  # a snapshot is one file, read whole
+    rows, _ = import_yaml(spark, text)
+    got = rows.where("status = 'imported'")
+    return got.select(*[F.get_json_object("record", f"$.{f.name}").cast(f.dataType).alias(f.name) for f in current.schema.fields])
+
+
 def newest_snapshot(spark: SparkSession, root: str) -> str | None:
     """Path of the latest YAML snapshot."""
     got = list_newest(spark, root, "*.yaml").limit(1).collect()
