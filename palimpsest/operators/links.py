@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_shared
 from .retrieval import cosine, words
 
 
@@ -24,30 +25,38 @@ def jaccard_links(summaries: DataFrame, originals: DataFrame, threshold: float =
     """Best original of each summary by Jaccard likeness, among those in its length band, at the threshold or above.
 
     Prefix filtering makes it an equi-join: with all words in one order, rarest first, two sets that reach the threshold share
-    a word among the first ``n - ceil(threshold * n) + 1`` of each. Only those words are joined on; band and likeness are checked
-    on what is left. (s_id, o_id, score)"""
-    s = summaries.select(F.col("id").alias("s_id"), token_set(F.col("content")).alias("s_set"), F.col("n_tokens")).where(F.size("s_set") > 0)
-    o = originals.select(F.col("id").alias("o_id"), token_set(F.col("content")).alias("o_set"), F.length("content").alias("o_len")).where(F.size("o_set") > 0)
-    freq = o.select(F.explode("o_set").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-
-    def prefix(df: DataFrame, key: str, words_of: str) -> DataFrame:
-        ws = df.select(key, F.size(words_of).alias("n"), F.explode(words_of).alias("w")).join(freq, "w", "left")
-        order = Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "w")
-        return ws.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).select(key, "n", "w")
-
-    # the length band enters the key: lengths are cut into cells of a constant ratio, and a summary looks into those its band meets
+    a word among the first ``n - ceil(threshold * n) + 1`` of each. Only those words are joined on, together with the length band, as
+    lengths are cut into cells of a constant ratio. Words are numbered by the originals' vocabulary, so that sets are compared as numbers;
+    a summary's other words only count for its size. (s_id, o_id, score)"""
     chars = 4 * F.col("n_tokens")
     low, high = F.greatest(F.lit(200), F.floor(0.5 * chars)), F.floor(1.6 * chars)
     cell = lambda n: F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(1.5))
-    s_words = prefix(s, "s_id", "s_set").withColumnRenamed("n", "s_n").join(s.where(high >= low).select("s_id", F.explode(F.sequence(cell(low), cell(high))).alias("cell")), "s_id")
-    o_words = prefix(o, "o_id", "o_set").withColumnRenamed("n", "o_n").join(o.select("o_id", cell(F.col("o_len")).alias("cell")), "o_id")
+    s = summaries.select(F.col("id").alias("s_id"), token_set(F.col("content")).alias("ws"), low.alias("low"), high.alias("high")).where((F.size("ws") > 0) & (F.col("high") >= F.col("low")))
+    o = originals.select(F.col("id").alias("o_id"), token_set(F.col("content")).alias("ws"), F.length("content").alias("o_len")).where(F.size("ws") > 0)
+    freq = o.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    freq = write_shared(freq.withColumn("wid", F.monotonically_increasing_id()), "words")
+
+    def numbered(df: DataFrame, key: str, *carry: str) -> DataFrame:
+        """(key, n, set, ordered, carried): a text's words by number, and rarest first."""
+        rows = df.select(key, *carry, F.size("ws").alias("n"), F.explode("ws").alias("w")).join(freq, "w")
+        of = rows.groupBy(key, "n", *carry).agg(F.array_sort(F.collect_list(F.struct("df", "wid"))).alias("x"))  # bounded by the text's own length
+        return of.select(key, "n", *carry, F.col("x.wid").alias("ordered"))
+
+    def prefix(df: DataFrame) -> Column:
+        """The rarest words by which a text can be met; words nobody else has stand in front of them."""
+        room = F.col("n") - F.ceil(threshold * F.col("n")) + 1 - (F.col("n") - F.size("ordered"))
+        return F.slice("ordered", 1, F.greatest(F.lit(0), room).cast("int"))
+
+    sn = write_shared(numbered(s, "s_id", "low", "high"), "summaries")
+    on = write_shared(numbered(o, "o_id", "o_len"), "originals")
+    s_words = sn.select("s_id", F.col("n").alias("s_n"), "low", "high", F.explode(prefix(sn)).alias("w")).select("*", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    o_words = on.select("o_id", F.col("n").alias("o_n"), "o_len", F.explode(prefix(on)).alias("w"), cell(F.col("o_len")).alias("cell"))
     sizes = (F.col("s_n") >= F.ceil(threshold * F.col("o_n"))) & (F.col("o_n") >= F.ceil(threshold * F.col("s_n")))
-    cand = s_words.join(o_words, ["w", "cell"]).where(sizes).select("s_id", "o_id").distinct()
-    scored = (
-        cand.join(s, "s_id").join(o, "o_id").where((F.col("o_len") >= low) & (F.col("o_len") <= high))
-        .withColumn("score", F.round(jaccard(F.col("s_set"), F.col("o_set")), 6))
-        .where(F.col("score") >= threshold)
-    )
+    band = F.col("o_len").between(F.col("low"), F.col("high"))
+    cand = s_words.join(o_words, ["w", "cell"]).where(sizes & band).select("s_id", "o_id").distinct()
+    sets = cand.join(sn.select("s_id", F.col("n").alias("s_n"), F.col("ordered").alias("s_set")), "s_id").join(on.select("o_id", F.col("n").alias("o_n"), F.col("ordered").alias("o_set")), "o_id")
+    both = F.size(F.array_intersect("s_set", "o_set"))
+    scored = sets.withColumn("both", both).withColumn("score", F.round(F.col("both") / (F.col("s_n") + F.col("o_n") - F.col("both")), 6)).where(F.col("score") >= threshold)
     return scored.groupBy("s_id").agg(F.max(F.struct("score", (-F.col("o_id")).alias("neg"))).alias("b")).select("s_id", (-F.col("b.neg")).alias("o_id"), F.col("b.score").alias("score"))
 
 
