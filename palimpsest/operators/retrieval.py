@@ -65,8 +65,8 @@ def postings(df: DataFrame, terms: Sequence[str] | None = None, key: str = "id",
     """(term, id, tf): the inverted index, or the part of it for some terms. Words are counted within their row: nothing is shuffled."""
     w = words(F.col(text))
     if terms is not None:
-        w = F.filter(w, lambda x: x.isin(list(terms)))
-    counted = df.select(key, *carry, w.alias("_w")).where(F.size("_w") > 0)
+        w = F.filter(F.split(F.lower(F.regexp_replace(F.col(text), r"[^a-zA-Z0-9]+", " ")), " "), lambda x: x.isin(list(terms)))
+    counted = df.select(key, *carry, w.alias("_w"))  # the explode drops rows without words; a filter would split the texts once more
     return counted.select(key, *carry, "_w", F.explode(F.array_distinct("_w")).alias("term")).select("term", key, F.size(F.filter("_w", lambda x: x == F.col("term"))).cast("bigint").alias("tf"), *carry)
 
 
